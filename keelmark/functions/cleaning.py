@@ -20,18 +20,19 @@ def na_to_null(col: Column) -> Column:
 
 
 def to_double(col: Column) -> Column:
-    """Text to double; junk and NaN become NULL.
+    """Text to double; junk, infinities and NaN become NULL.
 
-    Java accepts a type suffix such as ``1.5d``, which is junk here.
+    Java reads ``1.5d`` and ``1.5f`` as numbers, which are junk here, so those
+    letters are made unreadable first. The column is evaluated only once.
     """
-    number = F.when(~col.cast("string").rlike(r"[0-9.][dDfF]\s*$"), col.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    readable = F.translate(col.cast("string"), "dDfF", "????")
+    return F.nanvl(readable.try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_int(col: Column) -> Column:
     """Text to int; junk and fractions become NULL, ``2000.0`` is 2000."""
     number = to_double(col)
-    return F.when(number % 1 == 0, number.try_cast("int"))
+    return F.coalesce(col.try_cast("int"), F.when(number % 1 == 0, number.try_cast("int")))
 
 
 def strip(col: Column) -> Column:

@@ -38,9 +38,16 @@ def fill_unknown_text(df: DataFrame, columns: list[str] = TEXT_COLUMNS) -> DataF
 
 
 def in_domain(column: str) -> Column:
+    """Inclusive range test; NULL for a missing value.
+
+    Filters move below the projection that parses the text, so each mention of
+    a column parses it again. The distance from the middle of the range needs
+    one mention, and is exact for these bounds.
+    """
     low, high = DOMAIN_BOUNDS[column]
-    inside = F.col(column) >= low
-    return inside if high is None else inside & (F.col(column) <= high)
+    if high is None:
+        return F.col(column) >= low
+    return F.abs(F.col(column) - (low + high) / 2) <= (high - low) / 2
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -52,13 +59,16 @@ def keep_in_domain(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Typed, repaired and plausible rows, all other columns kept."""
+    """Typed, repaired and plausible rows, all other columns kept.
+
+    A missing critical number is in no domain, so the last filter drops those
+    rows as ``drop_critical_nulls`` would.
+    """
     return (
         require_columns(df, NUMERIC_COLUMNS + TEXT_COLUMNS)
         .transform(coerce_integers)
         .transform(coerce_floats)
         .transform(strip_text)
-        .transform(drop_critical_nulls)
         .transform(fill_unknown_text)
         .transform(keep_in_domain)
     )
