@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 # Veltkamp's constant: splits a double into two halves of 26 bits.
 SPLITTER = 134217729.0
-WHOLE_FROM = 2.0 ** 52
+# From here on the gaps between doubles are wider than those between the decimals.
+WHOLE_FROM = 2.0 ** 53
 
 
 def _column(col: Column | str) -> Column:
