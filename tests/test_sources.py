@@ -1,0 +1,124 @@
+"""CSV and Parquet round trips, keys for files without one, whole jobs."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from keelmark.operators import premium as pr
+from keelmark.plans.batch import run_batch
+from keelmark.plans.dashboard import dashboard_tables
+from keelmark.schema import ENRICHED_COLUMNS, INCIDENT_COLUMNS, PREMIUM_COLUMNS, RAW_SCHEMA
+from keelmark.session import new_folder
+from keelmark.sources import files as io
+from keelmark.sources.derived import raw_incidents
+from keelmark.streaming.incremental import price_new_files
+
+CSV = """year,month,longitude,latitude,attack_type,vessel_status,shore_distance,nearest_country,region
+2001,5,10.5,-3.25,"Fired Upon","a ""quoted"", text",12.5,NA,South Asia
+2001,5,10.5,-3.25, Boarded ,null,,None,#N/A
+2001,5,10.5,-3.25, Boarded ,null,,None,#N/A
+"""
+
+
+@pytest.fixture
+def csv_path(tmp_path):
+    path = tmp_path / "incidents.csv"
+    path.write_text(CSV)
+    return str(path)
+
+
+def test_load_csv(spark, csv_path):
+    rows = io.load_incidents(spark, csv_path).collect()
+    assert tuple(rows[0]) == ("2001", "5", "10.5", "-3.25", "Fired Upon", 'a "quoted", text', "12.5", None, "South Asia")
+    assert tuple(rows[1])[4:] == (" Boarded ", None, None, None, None)
+
+
+def test_missing_file_is_an_error(spark):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.load_incidents(spark, "/tmp/no/such/file.csv").count()
+
+
+def test_keys_are_stable_and_number_equal_rows(spark, csv_path):
+    df = io.load_incidents(spark, csv_path)
+    first = sorted(r.incident_id for r in io.add_incident_id(df).collect())
+    again = sorted(r.incident_id for r in io.add_incident_id(df.repartition(3)).collect())
+    assert first == again and len(set(first)) == 3
+    assert sorted(k.split("-")[1] for k in first) == ["0", "0", "1"]
+
+
+def test_many_equal_rows_are_dealt_out_in_blocks(spark):
+    n = 3 * io.REPEATS_PER_ROW + 7
+    df = spark.range(n).select(F.lit("same").alias("a"), F.lit(None).cast("string").alias("b"))
+    keyed = io.add_incident_id(df)
+    assert keyed.columns == ["incident_id", "a", "b"]
+    assert keyed.agg(F.count("*"), F.count_distinct("incident_id")).first()[:] == (n, n)
+
+
+def test_enriched_files(spark, scored):
+    priced = pr.append_premiums(scored)
+    parquet, csv = new_folder(spark, "t-enriched"), new_folder(spark, "t-enriched")
+    io.write_enriched(priced, parquet)
+    assert sorted(d for d in os.listdir(parquet) if d.startswith("year=")) == [f"year={y}" for y in range(1995, 2002)]
+    assert all(len([f for f in os.listdir(f"{parquet}/year={y}") if f.endswith(".parquet")]) == 1 for y in range(1995, 2002))
+    assert spark.read.parquet(parquet).count() == priced.count()
+    io.write_enriched(priced, csv, "csv")
+    back = spark.read.schema(priced.schema).options(**io.CSV_OPTIONS).csv(csv)
+    assert back.exceptAll(priced).count() == 0 and back.count() == priced.count()
+    with pytest.raises(ValueError, match="risk_band"):
+        io.write_enriched(priced.drop("risk_band"), parquet)
+
+
+def test_premium_export_keeps_present_columns(spark, scored):
+    path = new_folder(spark, "t-premium")
+    io.export_premiums(scored, path)
+    assert spark.read.options(**io.CSV_OPTIONS).csv(path).columns == [
+        "year", "month", "region", "nearest_country", "attack_type", "attack_probability_pct", "risk_band"]
+
+
+def test_batch_job(spark, sf_dir):
+    source, cleaned, out = (new_folder(spark, f"t-batch-{n}") for n in ("csv", "clean", "out"))
+    io.write_csv(raw_incidents(spark, sf_dir).select(*INCIDENT_COLUMNS), source)
+    result = run_batch(spark, source, out, cleaned, trees=2, folds=2)
+    assert result.enriched.columns == ["incident_id", *ENRICHED_COLUMNS]
+    report = result.reports["cleaning"].first()
+    assert result.enriched.count() == report.rows_out > 0
+    assert result.reports["cv"].count() == 2
+    assert result.reports["cv_summary"].count() == 3
+    for name, table in result.reports.items():
+        assert table.count() > 0, name
+
+    tables = dashboard_tables(result.enriched, regions=["South Asia"], years=(1995, 2001))
+    assert len(tables) == 31
+    in_region = result.enriched.where("region = 'South Asia'").count()
+    assert tables["probability_kpis"].first().n_rows == in_region
+    assert tables["overview"].first().n_rows == report.rows_out
+    for name in ("records", "hierarchy", "rate_by_band", "premium_histogram", "premium_preview", "median_probability"):
+        assert tables[name].count() > 0, name
+
+    model = result.classification
+    assert 0 < len(model.preprocessor.names) == model.model.numFeatures
+
+
+def test_new_files_are_priced_once(spark, sf_dir):
+    source, out, checkpoint = (new_folder(spark, f"t-stream-{n}") for n in ("in", "out", "checkpoint"))
+    raw = raw_incidents(spark, sf_dir).select(*RAW_SCHEMA.fieldNames())
+
+    def run():
+        query = price_new_files(
+            spark, source, out, checkpoint, RAW_SCHEMA,
+            lambda df: df.withColumn("attack_probability_pct", F.col("month") * 8.0),
+        )
+        query.awaitTermination()
+        return spark.read.parquet(out)
+
+    io.write_csv(raw.where("year < '1998'"), source)
+    first = run().count()
+    assert run().count() == first > 0
+    io.write_csv(raw.where("NOT (year < '1998')"), source, mode="append")
+    from keelmark.operators.cleaning import clean
+
+    whole = pr.append_premiums(clean(raw).withColumn("attack_probability_pct", F.col("month") * 8.0))
+    out_rows = run()
+    assert out_rows.count() == whole.count() > first
+    assert out_rows.select(*PREMIUM_COLUMNS).exceptAll(whole.select(*PREMIUM_COLUMNS)).count() == 0
