@@ -12,7 +12,7 @@ from keelmark.constants import IQR_MULTIPLIER, RISK_BANDS
 from keelmark.functions.rounding import rounded
 from keelmark.functions.statistics import exact_mean, exact_sum, share_pct
 from keelmark.operators.profiling import QUARTILES
-from keelmark.operators.quantiles import quantiles_of_counts, value_counts
+from keelmark.operators.quantiles import quantiles_of_rows, value_rows
 
 CLASS_NAMES = {0: "Incomplete", 1: "Completed"}
 
@@ -88,13 +88,11 @@ def distance_by_region(df: DataFrame, positive_only: bool = False, digits: int =
     rows = df.where(F.col("region").isNotNull())
     if positive_only:
         rows = rows.where(F.col("shore_distance") > 0)
-    counts = value_counts(rows, ["region"], "shore_distance")
-    value, n = F.col("_value"), F.col("_n")
-    summary = counts.groupBy("region").agg(
-        F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.try_divide(F.sum(value * n), F.sum(n)).alias("mean"),
+    value = F.nanvl("shore_distance", F.lit(None).cast("double"))
+    summary = rows.groupBy("region").agg(
+        F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
     )
-    quartiles = quantiles_of_counts(counts, ["region"], QUARTILES)
+    quartiles = quantiles_of_rows(value_rows(rows, ["region"], "shore_distance"), ["region"], QUARTILES)
     return (
         summary.join(quartiles, "region")
         .select("region", "n", *[rounded(c, digits).alias(c) for c in ("min", "q25", "q50", "q75", "max", "mean")])
@@ -251,10 +249,12 @@ def portfolio_kpis(df: DataFrame) -> DataFrame:
 def rate_by_band(df: DataFrame, multiplier: float = IQR_MULTIPLIER, digits: int = 6) -> DataFrame:
     """Five-number summary and whiskers of the premium rate per band.
 
-    A whisker ends at the most extreme rate inside the fences.
+    A whisker ends at the most extreme rate inside the fences. A rate follows
+    from a percentage of two decimals and a multiplier, so the rates repeat.
     """
-    counts = value_counts(df.where(F.col("risk_band").isin(*RISK_BANDS)), ["risk_band"], "premium_rate_pct")
-    quartiles = quantiles_of_counts(counts, ["risk_band"], QUARTILES, few_keys=True)
+    banded = df.where(F.col("risk_band").isin(*RISK_BANDS))
+    counts = value_rows(banded, ["risk_band"], "premium_rate_pct", repeated=True)
+    quartiles = quantiles_of_rows(counts, ["risk_band"], QUARTILES, few_keys=True)
     value, spread = F.col("_value"), (F.col("q75") - F.col("q25")) * multiplier
     names = list(QUARTILES)
     boxes = counts.join(F.broadcast(quartiles), "risk_band").groupBy("risk_band", *names).agg(
@@ -269,5 +269,7 @@ def rate_by_band(df: DataFrame, multiplier: float = IQR_MULTIPLIER, digits: int
 
 
 def median_probability(df: DataFrame, column: str = "attack_probability_pct", digits: int = 6) -> DataFrame:
-    """Median percentage. It has two decimals, so a task holds 10,001 values at most."""
-    return df.agg(rounded(F.median(rounded(column, 2)), digits).alias("median_pct"))
+    """Median percentage. It has two decimals, so 10,001 counts at most reach the last task."""
+    counts = df.groupBy(rounded(column, 2).alias("pct")).agg(_n().alias("n"))
+    known = counts.where(F.col("pct").isNotNull() & ~F.isnan("pct"))
+    return known.agg(rounded(F.percentile("pct", 0.5, F.col("n")), digits).alias("median_pct"))

@@ -9,7 +9,7 @@ from keelmark.constants import IQR_MULTIPLIER
 from keelmark.functions.rounding import rounded
 from keelmark.functions.statistics import adjusted_skewness, share_pct
 from keelmark.operators.quantiles import (
-    column_quantiles, long_values, quantiles_of_counts, value_counts,
+    column_quantiles, long_values, quantiles_of_rows, value_rows,
 )
 from keelmark.operators.reshape import rows_per_column
 from keelmark.schema import NUMERIC_COLUMNS, TEXT_COLUMNS
@@ -83,8 +83,8 @@ def outliers_iqr(
     df: DataFrame, columns: list[str], multiplier: float = IQR_MULTIPLIER, digits: int = 3,
 ) -> DataFrame:
     """Quartiles, fences and the rows strictly outside them; no row is removed."""
-    counts = value_counts(long_values(df, columns), ["column"], "value")
-    quartiles = quantiles_of_counts(counts, ["column"], {"q1": 0.25, "q3": 0.75}, few_keys=True)
+    values = value_rows(long_values(df, columns), ["column"], "value")
+    quartiles = quantiles_of_rows(values, ["column"], {"q1": 0.25, "q3": 0.75}, few_keys=True)
     spread = F.col("q3") - F.col("q1")
     fences = (
         quartiles.withColumn("iqr", spread)
@@ -96,7 +96,7 @@ def outliers_iqr(
     names = ["q1", "q3", "iqr", "lower_fence", "upper_fence"]
     rows = df.agg(F.count(F.lit(1))).scalar()
     return (
-        counts.join(F.broadcast(fences), "column")
+        values.join(F.broadcast(fences), "column")
         .groupBy("column", *names)
         .agg(F.sum(F.when(outside, n).otherwise(0)).alias("n_outliers"))
         .select(

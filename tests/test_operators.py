@@ -69,8 +69,8 @@ def test_exact_quantiles_match_numpy(spark):
     rows += [("mixed", None), ("mixed", float("nan")), ("empty", None)]
     df = spark.createDataFrame(rows, "k string, x double").repartition(5)
     probabilities = {"p0": 0.0, "p1": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p999": 0.999, "p100": 1.0}
-    for few_keys in (True, False):
-        out = {r.k: r for r in exact_quantiles(df, ["k"], "x", probabilities, few_keys).collect()}
+    for few_keys, repeated in ((True, False), (False, True)):
+        out = {r.k: r for r in exact_quantiles(df, ["k"], "x", probabilities, few_keys, repeated).collect()}
         assert set(out) == set(_samples())
         for k, xs in _samples().items():
             got = [out[k][name] for name in probabilities]
@@ -80,8 +80,8 @@ def test_exact_quantiles_match_numpy(spark):
 def test_sketched_quantiles_are_close(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2).alias("b"))
     out = {r["column"]: r for r in column_quantiles(df, ["a", "b"], {"q": 0.5}, exact=False).collect()}
-    assert out["a"].q == pytest.approx(5000, abs=5)
-    assert out["b"].q == pytest.approx(10000, abs=10)
+    assert out["a"].q == pytest.approx(5000, abs=11)
+    assert out["b"].q == pytest.approx(10000, abs=21)
 
 
 def test_profiles_match_pandas(spark):
@@ -244,6 +244,8 @@ def test_sample_is_fixed_and_bounded(scored):
     first = [r.incident_id for r in sm.map_sample(scored, 100).collect()]
     again = [r.incident_id for r in sm.map_sample(scored.repartition(3), 100).collect()]
     assert sorted(first) == sorted(again) and len(set(first)) == 100
+    lowest = sorted((hashlib.md5(f"42:{r.incident_id}".encode()).hexdigest(), r.incident_id) for r in scored.select("incident_id").collect())
+    assert first == [i for _, i in lowest[:100]]
     assert sm.map_sample(scored, 10**6).count() == scored.count()
     assert sorted(first) != sorted(r.incident_id for r in sm.seeded_sample(scored, 100, seed=1).collect())
 

@@ -83,12 +83,20 @@ def test_only_small_tables_are_broadcast(scored):
     assert text.count("BroadcastHashJoin") == 1 and "TakeOrderedAndProject" in text
 
 
-def test_counts_are_shuffled_once_for_all_quantile_steps(scored):
+def test_repeated_values_are_counted_once_for_all_quantile_steps(scored):
     text = final_plan(an.rate_by_band(pr.append_premiums(scored)))
     assert text.count("ReusedExchange") >= 3
     assert text.count("FileScan") == 1
 
 
+def test_quantiles_shuffle_histograms_only(scored):
+    lines = plan(an.distance_by_region(scored)).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = next(text for text in lines[i + 1:] if "Project" not in text)
+            assert any(k in below for k in ("HashAggregate", "Window", "Filter", "SortAggregate", "Join")), below
+
+
 def test_fold_ranks_are_joined_without_moving_the_rows_again(spark, scored):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)

@@ -48,7 +48,7 @@ def test_keys_are_stable_and_number_equal_rows(spark, csv_path):
 
 
 def test_many_equal_rows_are_dealt_out_in_blocks(spark):
-    n = 3 * io.REPEATS_PER_ROW + 7
+    n = 3 * io.REPEATS_PER_BLOCK + 7
     df = spark.range(n).select(F.lit("same").alias("a"), F.lit(None).cast("string").alias("b"))
     keyed = io.add_incident_id(df)
     assert keyed.columns == ["incident_id", "a", "b"]
