@@ -91,12 +91,11 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned incidents with a fixed pseudo-probability in place of a model's."""
     pct = (F.col("incident_id") % 10001 * 7907 % 10001).cast("double") / 100
-    return (
-        incidents(spark, sf_dir)
-        .withColumn("attack_occurred", attack_completed(F.col("attack_type")))
-        .withColumn("attack_probability_pct", pct)
-        .withColumn("risk_band", risk_band(F.col("attack_probability_pct")))
-    )
+    return incidents(spark, sf_dir).withColumns({
+        "attack_occurred": attack_completed(F.col("attack_type")),
+        "attack_probability_pct": pct,
+        "risk_band": risk_band(pct),
+    })
 
 
 def quote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
