@@ -12,7 +12,7 @@ from keelmark.constants import IQR_MULTIPLIER, RISK_BANDS
 from keelmark.functions.rounding import rounded
 from keelmark.functions.statistics import exact_mean, exact_sum, share_pct
 from keelmark.operators.profiling import QUARTILES
-from keelmark.operators.quantiles import quantiles_of_rows, value_rows
+from keelmark.operators.quantiles import has_few_keys, quantiles_of_rows, value_rows
 
 CLASS_NAMES = {0: "Incomplete", 1: "Completed"}
 
@@ -92,7 +92,8 @@ def distance_by_region(df: DataFrame, positive_only: bool = False, digits: int =
     summary = rows.groupBy("region").agg(
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
     )
-    quartiles = quantiles_of_rows(value_rows(rows, ["region"], "shore_distance"), ["region"], QUARTILES)
+    values = value_rows(rows, ["region"], "shore_distance")
+    quartiles = quantiles_of_rows(values, ["region"], QUARTILES, few_keys=has_few_keys(rows, ["region"]))
     return (
         summary.join(quartiles, "region")
         .select("region", "n", *[rounded(c, digits).alias(c) for c in ("min", "q25", "q50", "q75", "max", "mean")])

@@ -77,6 +77,20 @@ def test_exact_quantiles_match_numpy(spark):
             assert got == pytest.approx(list(np.quantile(xs, list(probabilities.values()))), rel=1e-12), k
 
 
+def test_quantiles_of_many_keys_are_shuffled(spark):
+    from keelmark.operators.quantiles import has_few_keys
+
+    df = spark.range(6000).select((F.col("id") % 300).alias("k"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
+    assert has_few_keys(df, ["k"]) and not has_few_keys(df, ["k"], limit=299)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = {r.k: r.m for r in exact_quantiles(df, ["k"], "x", {"m": 0.5}).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert out == {k: np.median([i * 7 % 1000 for i in range(k, 6000, 300)]) for k in range(300)}
+
+
 def test_sketched_quantiles_are_close(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2).alias("b"))
     out = {r["column"]: r for r in column_quantiles(df, ["a", "b"], {"q": 0.5}, exact=False).collect()}

@@ -1,11 +1,13 @@
 """CSV and Parquet round trips, keys for files without one, whole jobs."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from keelmark.operators import premium as pr
+from keelmark.operators.analytics import filter_incidents
 from keelmark.plans.batch import run_batch
 from keelmark.plans.dashboard import dashboard_tables
 from keelmark.schema import ENRICHED_COLUMNS, INCIDENT_COLUMNS, PREMIUM_COLUMNS, RAW_SCHEMA
@@ -62,6 +64,9 @@ def test_enriched_files(spark, scored):
     assert sorted(d for d in os.listdir(parquet) if d.startswith("year=")) == [f"year={y}" for y in range(1995, 2002)]
     assert all(len([f for f in os.listdir(f"{parquet}/year={y}") if f.endswith(".parquet")]) == 1 for y in range(1995, 2002))
     assert spark.read.parquet(parquet).count() == priced.count()
+    pruned = filter_incidents(spark.read.parquet(parquet), years=(1996, 1997), min_pct=50.0)
+    text = pruned._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*year", text) and "GreaterThanOrEqual(attack_probability_pct,50.0)" in text
     io.write_enriched(priced, csv, "csv")
     back = spark.read.schema(priced.schema).options(**io.CSV_OPTIONS).csv(csv)
     assert back.exceptAll(priced).count() == 0 and back.count() == priced.count()
