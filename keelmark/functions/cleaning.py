@@ -31,8 +31,8 @@ def to_double(col: Column) -> Column:
 
 def to_int(col: Column) -> Column:
     """Text to int; junk and fractions become NULL, ``2000.0`` is 2000."""
-    number = to_double(col)
-    return F.coalesce(col.try_cast("int"), F.when(number % 1 == 0, number.try_cast("int")))
+    text, number = col.cast("string"), to_double(col)
+    return F.coalesce(text.try_cast("int"), F.when(number % 1 == 0, number.try_cast("int")))
 
 
 def strip(col: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.constants import TOP_COUNTRIES
@@ -13,33 +13,26 @@ from keelmark.schema import CATEGORICAL_FEATURES
 ENCODED_COLUMNS = ["attack_type", "vessel_status", "nearest_country", "month", "shore_distance"]
 
 
-def add_log_shore_distance(df: DataFrame) -> DataFrame:
-    return df.withColumn("log_shore_distance", F.log1p("shore_distance"))
-
-
-def add_season(df: DataFrame) -> DataFrame:
+def row_features() -> dict[str, Column]:
+    """The features that follow from a row alone."""
     sine, cosine = fx.season(F.col("month"))
-    return df.withColumns({"month_sin": sine, "month_cos": cosine})
-
-
-def add_hotspot_distance(df: DataFrame) -> DataFrame:
-    return df.withColumn("dist_gulf_aden_km", fx.hotspot_km(F.col("latitude"), F.col("longitude")))
-
-
-def add_abs_latitude(df: DataFrame) -> DataFrame:
-    return df.withColumn("abs_latitude", F.abs("latitude"))
+    return {
+        "log_shore_distance": F.log1p("shore_distance"),
+        "month_sin": sine,
+        "month_cos": cosine,
+        "dist_gulf_aden_km": fx.hotspot_km(F.col("latitude"), F.col("longitude")),
+        "abs_latitude": F.abs("latitude"),
+        "lon_lat_interaction": F.col("longitude") * F.col("latitude"),
+        "attack_severity": fx.attack_severity(F.col("attack_type")),
+        "vessel_vulnerability": fx.vessel_vulnerability(F.col("vessel_status")),
+        "attack_occurred": fx.attack_completed(F.col("attack_type")),
+    }
 
 
-def add_interaction(df: DataFrame) -> DataFrame:
-    return df.withColumn("lon_lat_interaction", F.col("longitude") * F.col("latitude"))
-
-
-def add_attack_severity(df: DataFrame) -> DataFrame:
-    return df.withColumn("attack_severity", fx.attack_severity(F.col("attack_type")))
-
-
-def add_vessel_vulnerability(df: DataFrame) -> DataFrame:
-    return df.withColumn("vessel_vulnerability", fx.vessel_vulnerability(F.col("vessel_status")))
+def add_row_features(df: DataFrame, *names: str) -> DataFrame:
+    """Some of the features of ``row_features``, all by default."""
+    columns = row_features()
+    return df.withColumns({name: columns[name] for name in names or columns})
 
 
 def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -66,14 +59,13 @@ def group_rare(
     )
 
 
-def add_year_trend(df: DataFrame) -> DataFrame:
-    """Years since the first one; the minimum is a scalar subquery."""
-    first = df.agg(F.min("year").alias("first")).scalar()
-    return df.withColumn("year_trend", F.col("year") - first)
+def year_trend(df: DataFrame) -> Column:
+    """Years since the first one of ``df``, which is a scalar subquery."""
+    return F.col("year") - df.agg(F.min("year").alias("first")).scalar()
 
 
-def add_label(df: DataFrame) -> DataFrame:
-    return df.withColumn("attack_occurred", fx.attack_completed(F.col("attack_type")))
+def add_year_trend(df: DataFrame) -> DataFrame:
+    return df.withColumn("year_trend", year_trend(df))
 
 
 def class_balance(df: DataFrame, label: str = "attack_occurred") -> DataFrame:
@@ -91,15 +83,8 @@ def drop_encoded(df: DataFrame) -> DataFrame:
 
 def add_features(df: DataFrame, country_top_n: int = TOP_COUNTRIES) -> DataFrame:
     """All derived columns next to the raw ones, so that scores need no join back."""
-    table = df.transform(group_rare, n=country_top_n)
-    first_year = df.agg(F.min("year").alias("first")).scalar()
-    table = table.withColumn("year_trend", F.col("year") - first_year)
-    for step in (
-        add_log_shore_distance, add_season, add_hotspot_distance, add_abs_latitude, add_interaction,
-        add_attack_severity, add_vessel_vulnerability, add_label,
-    ):
-        table = table.transform(step)
-    return table
+    grouped = df.transform(group_rare, n=country_top_n)
+    return grouped.withColumns({**row_features(), "year_trend": year_trend(df)})
 
 
 def engineer_features(df: DataFrame, country_top_n: int = TOP_COUNTRIES) -> tuple[DataFrame, list[str]]:

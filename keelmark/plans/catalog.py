@@ -73,6 +73,10 @@ def feature(step: Callable, columns: list[str]) -> Query:
     return cleaned(lambda df: _rounded(step(df), columns))
 
 
+def row_feature(*names: str) -> Query:
+    return feature(lambda df: ft.add_row_features(df, *names), list(names))
+
+
 def _read_csv(like: DataFrame, path: str) -> DataFrame:
     return like.sparkSession.read.schema(like.schema).options(**io.CSV_OPTIONS).csv(path)
 
@@ -111,7 +115,7 @@ def _export_premiums(df: DataFrame) -> DataFrame:
 def _typed_folds(df: DataFrame) -> DataFrame:
     """Typed but unfiltered rows with folds: they still hold NULL numbers."""
     typed = df.transform(cl.coerce_integers).transform(cl.coerce_floats).transform(cl.strip_text)
-    return stratified_folds(ft.add_label(typed))
+    return stratified_folds(ft.add_row_features(typed, "attack_occurred"))
 
 
 def _train(df: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def _fold_table(df: DataFrame) -> DataFrame:
 
 def _fixed_predictions(df: DataFrame) -> DataFrame:
     """Log distances with a fixed prediction for each."""
-    logged = ft.add_log_shore_distance(df)
+    logged = ft.add_row_features(df, "log_shore_distance")
     return logged.withColumn("prediction", F.col("log_shore_distance") * 0.9 + F.col("attack_probability_pct") / 100)
 
 
@@ -242,16 +246,18 @@ QUERIES: dict[str, Query] = {
     "c7_cleaning_report": raw(cl.cleaning_report),
     "c8_clean": raw(cl.clean),
     # Features
-    "f1_log_shore_distance": feature(ft.add_log_shore_distance, ["log_shore_distance"]),
-    "f2_season": feature(ft.add_season, ["month_sin", "month_cos"]),
-    "f3_hotspot_distance": feature(ft.add_hotspot_distance, ["dist_gulf_aden_km"]),
-    "f4_abs_latitude": feature(ft.add_abs_latitude, ["abs_latitude"]),
-    "f5_interaction": feature(ft.add_interaction, ["lon_lat_interaction"]),
-    "f6_attack_severity": feature(ft.add_attack_severity, ["attack_severity"]),
-    "f7_vessel_vulnerability": feature(ft.add_vessel_vulnerability, ["vessel_vulnerability"]),
+    "f1_log_shore_distance": row_feature("log_shore_distance"),
+    "f2_season": row_feature("month_sin", "month_cos"),
+    "f3_hotspot_distance": row_feature("dist_gulf_aden_km"),
+    "f4_abs_latitude": row_feature("abs_latitude"),
+    "f5_interaction": row_feature("lon_lat_interaction"),
+    "f6_attack_severity": row_feature("attack_severity"),
+    "f7_vessel_vulnerability": row_feature("vessel_vulnerability"),
     "f8_group_rare_countries": feature(ft.group_rare, ["nearest_country", "country_grouped"]),
     "f9_year_trend": feature(ft.add_year_trend, ["year", "year_trend"]),
-    "f10_label": feature(ft.add_label, ["attack_type", "attack_occurred"]),
+    "f10_label": feature(
+        lambda df: ft.add_row_features(df, "attack_occurred"), ["attack_type", "attack_occurred"]
+    ),
     "f11_class_balance": scored(lambda df: ft.class_balance(df).withColumn("pct_positive", rounded("pct_positive", 6))),
     "f12_drop_encoded": scored(ft.drop_encoded),
     "f13_engineer_features": cleaned(

@@ -45,6 +45,17 @@ def test_clean_rows(spark):
     }
 
 
+def test_clean_accepts_typed_columns(spark):
+    typed = spark.createDataFrame(
+        [(2001.0, 5, 10.5, -3.25, "Boarded", "Anchored", 12.5, "AAA", "South Asia"),
+         (2001.5, 5, 10.5, -3.25, "Boarded", "Anchored", 12.5, "AAA", "South Asia"),
+         (2001.0, 5, 10.5, float("nan"), "Boarded", "Anchored", 12.5, "AAA", "South Asia")],
+        "year double, month int, longitude double, latitude double, attack_type string, vessel_status string, "
+        "shore_distance double, nearest_country string, region string",
+    )
+    assert [(r.year, r.month, r.latitude) for r in cl.clean(typed).collect()] == [(2001, 5, -3.25)]
+
+
 def test_clean_needs_its_columns(spark):
     with pytest.raises(ValueError, match="region"):
         cl.clean(spark.createDataFrame([], INCIDENT_SCHEMA).drop("region"))
