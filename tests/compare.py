@@ -35,7 +35,7 @@ def canonical(columns: list[str], rows: list) -> list[tuple]:
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
-SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def difference(df, con, sql: str) -> str | None:
