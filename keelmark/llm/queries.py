@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelmark.llm.exact_dedup import exact_duplicates
+from keelmark.llm.language import held_out, language_of_documents
+from keelmark.llm.packing import pack_documents
 from keelmark.llm.runtime import documents
 from keelmark.llm.simhash import near_duplicates
 
@@ -17,11 +19,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language_of_documents(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
