@@ -147,7 +147,10 @@ def exact_duplicates(
     )
     suspects = rows.where("suspect").withColumn("body", text)
     order = F.struct(F.col("id").isNull().alias("n"), "id", "part", "place")
-    groups = suspects.groupBy("sha", "body").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    # Written, so that AQE may split the join below where one text has many rows.
+    groups = saved(
+        suspects.groupBy("sha", "body").agg(F.min(order).alias("first"), F.count("*").alias("size")), "equal-texts"
+    )
     compared = suspects.join(groups, ["sha", "body"]).select(
         "row", F.col("first.id").alias("keep_id"), F.col("size").alias("group_size"),
         ((F.col("first.part") == F.col("part")) & (F.col("first.place") == F.col("place"))).alias("kept"),
