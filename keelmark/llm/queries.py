@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from keelmark.llm.exact_dedup import exact_duplicates
 from keelmark.llm.language import held_out, language_of_documents
 from keelmark.llm.packing import pack_documents
+from keelmark.llm.passages import remove_repeats
 from keelmark.llm.runtime import documents
 from keelmark.llm.simhash import near_duplicates
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_duplicates(docs).select(
@@ -35,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_language_id": op5_language_id,
     "op9_simhash": op9_simhash,
