@@ -10,6 +10,27 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.body = g.body
 """
 
+OP7 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, role = 'assistant' AS trained,
+    row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS last,
+    sum(length('<turn>') + length('<says>') + length('</turn>') + 1 + length(regexp_replace(role, '([\\<>])', '\\\1', 'g'))
+      + length(regexp_replace(text, '([\\<>])', '\\\1', 'g'))) OVER w AS so_far
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (trained), '')) AS loss_sha256,
+  CAST(sum(so_far) FILTER (trained OR n = last) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 ORACLE_SQL = {
     "op2_exact_dedup": OP2,
+    "op7_chat_format": OP7,
 }
