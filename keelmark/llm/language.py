@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.llm.runtime import hashed_mod, prepare
+from keelmark.llm.sampling import sample_texts
 
 UNKNOWN = "und"
 #: The fit: at most so many rows of at most so many bytes a language, until they hold so many bytes.
@@ -121,21 +122,16 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     Of each language the distinct texts of at most ``ROW_BYTES`` bytes with the smallest
     hashes are taken, ``SAMPLE_ROWS`` at most, until they hold ``SAMPLE_BYTES``. Only these few reach the driver.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= ROW_BYTES)
+    rows = labelled.select(F.col(lang_col).alias("label"), F.col(text_col).alias("text")).where(
+        F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= ROW_BYTES)
     ).withColumn("h", F.xxhash64("text"))
-    least = Window.partitionBy("lang").orderBy("h")
-    chosen = (
-        rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(least))
-        .where(F.col("n") <= SAMPLE_ROWS).collect()
-    )
-    hashes = sorted({r["h"] for r in chosen})
-    texts = rows.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    by_key = {(r["lang"], r["h"]): r["text"] for r in texts}
     samples: dict[str, bytes] = {}
-    for r in sorted(chosen, key=lambda r: (r["lang"], r["n"])):
-        if len(have := samples.get(r["lang"], b"")) < SAMPLE_BYTES:
-            samples[r["lang"]] = have + b" " + letters_only(by_key[r["lang"], r["h"]])
+    for language, texts in sample_texts(rows, rows, SAMPLE_ROWS, ROW_BYTES).items():
+        held = b""
+        for text in texts:
+            if len(held) < SAMPLE_BYTES:
+                held += b" " + letters_only(text)
+        samples[language] = held
     return CrossParser(samples)
 
 

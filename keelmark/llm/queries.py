@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelmark.llm import language, quality
 from keelmark.llm.bpe import round_trip_digests
 from keelmark.llm.chat import conversation_digests, format_conversations
 from keelmark.llm.exact_dedup import exact_duplicates
-from keelmark.llm.language import held_out, language_of_documents
+from keelmark.llm.maxscore import quantised, search_top
 from keelmark.llm.packing import pack_documents
 from keelmark.llm.passages import remove_repeats
 from keelmark.llm.runtime import documents
@@ -28,9 +29,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return search_top(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.quality_of_documents(docs, labels).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", "predicted"
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return language_of_documents(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return language.language_of_documents(docs).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score"
+    )
 
 
 #: A conversation whose texts hold marks of common templates.
@@ -62,6 +78,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_topk_search": op3_topk_search,
+    "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op7_chat_format": op7_chat_format,
     "op8_bpe": op8_bpe,

@@ -10,6 +10,20 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.body = g.body
 """
 
+OP3 = """
+WITH v AS (
+  SELECT vec_id, [floor(1024e0 * CAST(x AS DOUBLE)) for x in embedding] AS vector FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len([x for x in embedding if isfinite(x)]) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vector, c.vector) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 10
+"""
+
 OP7 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -32,5 +46,6 @@ FROM sized GROUP BY conv_id
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2,
+    "op3_topk_search": OP3,
     "op7_chat_format": OP7,
 }
