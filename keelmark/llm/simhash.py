@@ -85,6 +85,8 @@ def _linking(distance: int):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
             earlier = np.flatnonzero(keys != keys[-1])
