@@ -171,6 +171,11 @@ def held_out(id_col: str = "doc_id"):
     return hashed_mod(F.col(id_col), 3) == 1
 
 
+def fit_documents(docs: DataFrame) -> CrossParser:
+    """A parser from the rows of ``docs`` that are not held out."""
+    return fit_languages(docs.where(~F.coalesce(held_out(), F.lit(True))))
+
+
 def language_of_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, learned from its rows that are not held out."""
-    return identify_languages(docs, fit_languages(docs.where(~F.coalesce(held_out(), F.lit(True)))))
+    return identify_languages(docs, fit_documents(docs))
