@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Slices of the hashes, limited one by one before a label's rows meet in one task.
+SLICES = 64
+
+
 def sample_texts(labelled: DataFrame, texts: DataFrame, rows: int, max_bytes: int) -> dict[object, list[str]]:
     """For each label, ``rows`` of its distinct texts at most, of ``max_bytes`` at most, in the order of their hashes.
 
     ``labelled`` has label and h, ``texts`` has text and h, the XXH64 of the text. Labels meet
     hashes only; texts are then picked by the chosen hashes. No more than labels x rows texts reach the driver.
     """
-    least = Window.partitionBy("label").orderBy("h")
-    chosen = (
-        labelled.select("label", "h").distinct().withColumn("n", F.row_number().over(least))
-        .where(F.col("n") <= rows).collect()
-    )
+    chosen = labelled.select("label", "h").distinct().withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    for keys in (["label", "slice"], ["label"]):
+        least = Window.partitionBy(*keys).orderBy("h")
+        chosen = chosen.withColumn("n", F.row_number().over(least)).where(F.col("n") <= rows)
+    chosen = chosen.collect()
     hashes = sorted({r["h"] for r in chosen})
     picked = texts.where(F.col("h").isin(hashes) & (F.octet_length("text") <= max_bytes)).groupBy("h").agg(F.min("text").alias("text"))
     by_hash = {r["h"]: r["text"] for r in picked.collect()}
