@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from keelmark.llm.runtime import prepare
 from keelmark.llm.words import in_chunks
 
-# Fixed value: how texts are cut before merging.
+# How texts are cut before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that the library itself encodes: they may compose, or hold a special token.
+UNUSUAL = re.compile("[\u0250-\U0010ffff]|<[|]")
 #: Pieces whose ids a task remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 _NONE = np.iinfo(np.int64).max
 _BESIDE = re.compile(r"\s(?:\s|\Z)")
 _SPACE = re.compile(r" (?=\S)")
@@ -33,44 +36,24 @@ def byte_characters() -> dict[str, int]:
     return {chr(c): b for b, c in [*zip(plain, plain), *((b, 256 + i) for i, b in enumerate(rest))]}
 
 
-class ByteBpe:
-    """Encodes and decodes like the tokenizer of a file of the tokenizers library."""
+class Merges:
+    """The merges of a vocabulary file, as arrays over pairs of ids."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)
-        letters = byte_characters()
-        vocab = model["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self.size = max([*vocab.values(), *self.special.values()]) + 1
-        self.tokens = [b""] * self.size
-        for token, i in vocab.items():
-            if token not in self.special:
-                self.tokens[i] = bytes(map(letters.__getitem__, token))
-        for token, i in self.special.items():
-            self.tokens[i] = token.encode()
-        self.decimal = [b"%d" % i for i in range(self.size)]
-        of_byte = {x: i for i, x in enumerate(self.tokens) if len(x) == 1}
-        self.of_byte = np.array([of_byte[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"]]
-        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
+    def __init__(self, model: dict, size: int):
+        vocab, self.size = model["vocab"], size
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
         # A merge comes after those that make its parts, so all places of a word's lowest pair can be merged in one round.
-        made = {vocab[a + b]: n for n, (a, b) in enumerate(pairs)}
+        made = {vocab[a + b]: n for n, (a, b) in reversed(list(enumerate(pairs)))}
         if any(made.get(vocab[x], -1) >= n for n, pair in enumerate(pairs) for x in pair):
             raise ValueError("a merge uses a token that only a later merge makes")
-        self.pretoken = regex.compile(PRETOKEN)
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.after_space: dict[str, bytes] = {}
-        self.kind = np.dtype("<u2") if self.size <= 65_536 else np.dtype("<u4")
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of every word. All words lie in one flat array; a round merges each word's lowest pair."""
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        symbols = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        owner = np.repeat(np.arange(len(words)), sizes)
+    def apply(self, symbols: np.ndarray, sizes: np.ndarray, kind: np.dtype) -> list[bytes]:
+        """Ids of every word, as numbers of a kind. All words lie in one flat array; a round merges each word's lowest pair."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             key = symbols[:-1] * self.size + symbols[1:]
@@ -96,18 +79,52 @@ class ByteBpe:
             done.append((symbols[keep & ~live], owner[keep & ~live]))
             symbols, owner = symbols[keep & live], owner[keep & live]
         if not done:
-            return [np.empty(0, np.int64) for _ in words]
+            return [b"" for _ in sizes]
         symbols, owner = (np.concatenate(x) for x in zip(*done))
-        order = np.argsort(owner, kind="stable")
-        return np.split(symbols[order], np.searchsorted(owner[order], np.arange(1, len(words))))
+        data = symbols[np.argsort(owner, kind="stable")].astype(kind).tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(sizes))) * kind.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def read_model(path: str) -> tuple[dict, dict[str, int], int]:
+    """(model, special tokens, number of ids) of a tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    special = {x["content"]: x["id"] for x in held["added_tokens"]}
+    return held["model"], special, max([*held["model"]["vocab"].values(), *special.values()]) + 1
+
+
+class ByteBpe:
+    """Encodes and decodes like the tokenizer of a file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        model, self.special, self.size = read_model(path)
+        letters, vocab = byte_characters(), model["vocab"]
+        self.tokens = [b""] * self.size
+        for token, i in vocab.items():
+            if token not in self.special:
+                self.tokens[i] = bytes(map(letters.__getitem__, token))
+        for token, i in self.special.items():
+            self.tokens[i] = token.encode()
+        self.decimal = [b"%d" % i for i in range(self.size)]
+        self.of_byte = np.zeros(256, dtype=np.int64)
+        for c, b in letters.items():
+            self.of_byte[b] = vocab[c]
+        self.merges = Merges(model, self.size)
+        self.pretoken = regex.compile(PRETOKEN)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.after_space: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2") if self.size <= 65_536 else np.dtype("<u4")
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of short stretches of text, each cut by the pattern and merged."""
-        cut = [self.pretoken.findall(x) for x in texts]
-        distinct = list({w for x in cut for w in x})
-        ids = self.merge([w.encode() for w in distinct])
-        known = {w: x.astype(self.kind).tobytes() for w, x in zip(distinct, ids)}
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        cut = list(map(self.pretoken.findall, texts))
+        distinct = list(set().union(*cut))
+        words = [w.encode() for w in distinct]
+        symbols = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ids = self.merges.apply(symbols, np.array(list(map(len, words)), dtype=np.int64), self.kind)
+        known = dict(zip(distinct, ids))
+        return [known[x[0]] if len(x) == 1 else b"".join([known[w] for w in x]) for x in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text.
@@ -126,10 +143,10 @@ class ByteBpe:
             first.append(pieces[0])
             rest.append(pieces[1:])
         known = self.after_space
-        missing = list({p for pieces in rest for p in pieces if p not in known})
+        missing = list(set().union(*rest).difference(known))
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
-            missing = list({p for pieces in rest for p in pieces})
+            missing = list(set().union(*rest))
         # a piece that starts with a line feed was cut before it, any other one before its space
         found = self._pieces([p if p[:1] == "\n" else " " + p for p in missing])
         known.update(zip(missing, found))
@@ -152,6 +169,63 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class WordBpe:
+    """Ids of words as the tokenizers library gives them, for a file that marks word ends and drops white space.
+
+    Words of plain letters (below U+0250, where nothing composes) are lower-cased, cut and merged here, many
+    at a time; the library itself is asked for any others. Ids are little-endian unsigned 32-bit numbers. The
+    memory of words is bounded: it is emptied when it is full, and long words are not kept.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        model, self.special, size = read_model(path)
+        end = model["end_of_word_suffix"]
+        self.of_byte, self.of_last = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+        for c, b in byte_characters().items():
+            self.of_byte[b], self.of_last[b] = model["vocab"][c], model["vocab"][c + end]
+        self.merges = Merges(model, size)
+        self.pretoken = regex.compile(WORD_PRETOKEN)
+        self.ids: dict[bytes, bytes] = {}
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        cut = [self.pretoken.findall(w.lower()) for w in words]
+        distinct = list(set().union(*cut))
+        data = [x.encode() for x in distinct]
+        sizes = np.array(list(map(len, data)), dtype=np.int64)
+        codes = np.frombuffer(b"".join(data), dtype=np.uint8)
+        symbols = self.of_byte[codes]
+        last = np.cumsum(sizes) - 1
+        symbols[last] = self.of_last[codes[last]]
+        ids = dict(zip(distinct, self.merges.apply(symbols, sizes, np.dtype("<u4"))))
+        return [ids[x[0]] if len(x) == 1 else b"".join([ids[y] for y in x]) for x in cut]
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts that are given as lists of words."""
+        known = self.ids
+        missing = list(set().union(*texts).difference(known))
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+            missing = list(set().union(*texts))
+        words = [w.decode() for w in missing]
+        odd = [bool(UNUSUAL.search(w)) for w in words]
+        plain = iter(self._merged([w for w, o in zip(words, odd) if not o]))
+        asked = iter(self._library([w for w, o in zip(words, odd) if o]))
+        known.update((w, next(asked if o else plain)) for w, o in zip(missing, odd))
+        out = [b"".join(map(known.__getitem__, words)) for words in texts]
+        for w in missing:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
+
+
 def _coding(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)

@@ -10,72 +10,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelmark.llm.bpe import WordBpe
 from keelmark.llm.runtime import prepare, saved
+from keelmark.llm.words import in_chunks
 
 WINDOW = 4096
 END_ID = 2
 #: Pieces that are packed together: about so many per group.
 GROUP_PIECES = 20_000
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
-
-
-class WordTokenizer:
-    """Ids as the tokenizers library gives them, asking it once for each distinct word.
-
-    The tokenizer must neither join nor look at anything across ASCII spaces, as one that drops
-    white space does. Ids are little-endian unsigned 32-bit numbers. The memory of words is emptied
-    when it is full, so it is bounded; a long word is never remembered.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.ids: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> bytes:
-        ids = self.ids
-        try:
-            return b"".join(map(ids.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in ids]
-        if len(ids) + len(new) > REMEMBERED:
-            ids.clear()
-            new = list(set(words))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        for w, x in zip(new, found):
-            ids[w] = np.array(x.ids, dtype="<u4").tobytes()
-        out = b"".join(map(ids.__getitem__, words))
-        for w in new:
-            if len(w) > 64:
-                del ids[w]
-        return out
 
 
 def _tokenizing(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordTokenizer(path), np.array([end_id], dtype="<u4").tobytes()
+        bpe, end = WordBpe(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            at, size = 0, len(texts)
-            lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(lengths) // 4_000_000
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), size]
-            for a, b in zip(cuts, cuts[1:]):
-                ids = [encoder.encode((x.as_py() or b"").split()) + end for x in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for a, b in in_chunks(texts):
+                ids = [x + end for x in bpe.encode([t.split() for t in texts[a:b]])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
 def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): each text's ids and ``end_id``, as little-endian unsigned 32-bit numbers. Null texts are empty."""
+    """(doc_id, ids): each text's ids and ``end_id``, as little-endian unsigned 32-bit numbers. Null texts are empty.
+
+    The tokenizer must neither join nor look at anything across ASCII spaces, as one that drops white space does.
+    """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(

@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -6,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from keelmark.llm.bpe import WordBpe
 from keelmark.llm.language import (
     PIECE, CrossParser, fit_languages, identify_languages, language_of_documents, letters_only, suffix_automaton,
 )
@@ -148,3 +151,15 @@ def test_pack_keeps_other_columns(spark):
     pieces = spark.range(100).selectExpr("id AS doc_id", "0L AS start", "1 + id * 40 % 4096 AS length", "'x' AS note")
     rows = pack(pieces).collect()
     assert len(rows) == 100 and {r["note"] for r in rows} == {"x"}
+
+
+def test_words_match_the_library():
+    rng = random.Random(8)
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    letters = [chr(c) for c in range(33, 0x3100) if unicodedata.category(chr(c))[0] in "LNPSM"]
+    words = ["", "<|endoftext|>", "a<|startoftext|>b", "İ", "ΑΣ", "Σ", "don't'll", "é", "x\xa0y", "\x85", "12ab", "<|", "aaaa" * 40, "\x1c"]
+    for _ in range(4000):
+        words.append("".join(rng.choice(letters if rng.random() < 0.2 else "abcdeABÉßöñ'12.,!?#&") for _ in range(rng.randrange(1, 10))))
+    bpe = WordBpe(WORD_BPE)
+    for w, ids in zip(words, bpe.encode([[w.encode()] for w in words])):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
