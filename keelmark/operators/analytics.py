@@ -12,7 +12,7 @@ from keelmark.constants import IQR_MULTIPLIER, RISK_BANDS
 from keelmark.functions.rounding import rounded
 from keelmark.functions.statistics import exact_mean, exact_sum, share_pct
 from keelmark.operators.profiling import QUARTILES
-from keelmark.operators.quantiles import has_few_keys, quantiles_of_rows, value_rows
+from keelmark.operators.quantiles import exact_quantiles, quantiles_of_rows, value_rows
 
 CLASS_NAMES = {0: "Incomplete", 1: "Completed"}
 
@@ -92,8 +92,7 @@ def distance_by_region(df: DataFrame, positive_only: bool = False, digits: int =
     summary = rows.groupBy("region").agg(
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
     )
-    values = value_rows(rows, ["region"], "shore_distance")
-    quartiles = quantiles_of_rows(values, ["region"], QUARTILES, few_keys=has_few_keys(rows, ["region"]))
+    quartiles = exact_quantiles(rows, ["region"], "shore_distance", QUARTILES)
     return (
         summary.join(quartiles, "region")
         .select("region", "n", *[rounded(c, digits).alias(c) for c in ("min", "q25", "q50", "q75", "max", "mean")])
@@ -255,7 +254,7 @@ def rate_by_band(df: DataFrame, multiplier: float = IQR_MULTIPLIER, digits: int
     """
     banded = df.where(F.col("risk_band").isin(*RISK_BANDS))
     counts = value_rows(banded, ["risk_band"], "premium_rate_pct", repeated=True)
-    quartiles = quantiles_of_rows(counts, ["risk_band"], QUARTILES, few_keys=True)
+    quartiles = quantiles_of_rows(counts, ["risk_band"], QUARTILES, fixed_keys=True)
     value, spread = F.col("_value"), (F.col("q75") - F.col("q25")) * multiplier
     names = list(QUARTILES)
     boxes = counts.join(F.broadcast(quartiles), "risk_band").groupBy("risk_band", *names).agg(
@@ -270,7 +269,7 @@ def rate_by_band(df: DataFrame, multiplier: float = IQR_MULTIPLIER, digits: int
 
 
 def median_probability(df: DataFrame, column: str = "attack_probability_pct", digits: int = 6) -> DataFrame:
-    """Median percentage. It has two decimals, so 10,001 counts at most reach the last task."""
-    counts = df.groupBy(rounded(column, 2).alias("pct")).agg(_n().alias("n"))
-    known = counts.where(F.col("pct").isNotNull() & ~F.isnan("pct"))
-    return known.agg(rounded(F.percentile("pct", 0.5, F.col("n")), digits).alias("median_pct"))
+    """Median percentage, NULL without one. Percentages repeat, so they are counted first."""
+    one = df.select(F.lit(0).alias("all"), column)
+    found = exact_quantiles(one, ["all"], column, {"median": 0.5}, fixed_keys=True, repeated=True)
+    return found.agg(rounded(F.max("median"), digits).alias("median_pct"))

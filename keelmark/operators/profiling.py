@@ -84,7 +84,7 @@ def outliers_iqr(
 ) -> DataFrame:
     """Quartiles, fences and the rows strictly outside them; no row is removed."""
     values = value_rows(long_values(df, columns), ["column"], "value")
-    quartiles = quantiles_of_rows(values, ["column"], {"q1": 0.25, "q3": 0.75}, few_keys=True)
+    quartiles = quantiles_of_rows(values, ["column"], {"q1": 0.25, "q3": 0.75}, fixed_keys=True)
     spread = F.col("q3") - F.col("q1")
     fences = (
         quartiles.withColumn("iqr", spread)
@@ -120,6 +120,23 @@ def correlation_with(
     )
 
 
+def explore_rows(df: DataFrame, digits: int = 4) -> DataFrame:
+    """The three profiles as one long table: profile, column, item, measure, value."""
+    def long(table: DataFrame, profile: str, item: Column, measures: list[str]) -> DataFrame:
+        doubles = [F.col(m).cast("double").alias(m) for m in measures]
+        return table.select(F.lit(profile).alias("profile"), "column", item.alias("item"), *doubles).unpivot(
+            ["profile", "column", "item"], measures, "measure", "value"
+        )
+
+    nothing = F.lit("")
+    return (
+        long(categorical_summary(df), "categories", F.col("value"), ["rank", "n", "n_distinct", "n_more"])
+        .unionByName(long(numeric_summary(df, digits=digits), "numbers", nothing,
+                          ["count", "mean", "std", "min", "q25", "q50", "q75", "max", "skew"]))
+        .unionByName(long(correlation_with(df, digits=digits), "correlation", nothing, ["correlation"]))
+    )
+
+
 def explore(df: DataFrame) -> dict[str, DataFrame]:
     """The three profiles of a cleaned incident table."""
     return {

@@ -1,6 +1,6 @@
 """Fixed-size samples, first rows and extreme rows.
 
-All are bounded sorts: each task keeps n rows and the driver merges them.
+All are bounded sorts: each task keeps n rows, and one task merges what they kept.
 """
 
 from __future__ import annotations
@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from keelmark.constants import SEED
 from keelmark.schema import PREMIUM_TABLE_COLUMNS, RECORD_COLUMNS
 
-# A scan of a huge table has far more tasks than the cluster has cores. Each
-# sends its n rows to the driver, so the tasks of a bounded sort are merged first.
-TOP_TASKS = 8192
 HASH_DIGITS = 12
 
 
 def _top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    return df.coalesce(TOP_TASKS).orderBy(*order).limit(n)
+    return df.orderBy(*order).limit(n)
 
 
 def seeded_sample(df: DataFrame, n: int, id_column: str = "incident_id", seed: int = SEED) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from keelmark import constants as K
@@ -18,6 +17,7 @@ from keelmark.operators.models import (
 from keelmark.operators.premium import append_premiums, premium_by_band, premium_statistics
 from keelmark.operators.preparation import classification_features
 from keelmark.operators.profiling import explore, outliers_iqr, table_profile
+from keelmark.plans.dashboard import model_tables
 from keelmark.schema import ENRICHED_COLUMNS, INCIDENT_COLUMNS
 from keelmark.sources.files import add_incident_id, load_incidents, write_enriched
 
@@ -48,25 +48,27 @@ def run_batch(
 ) -> BatchResult:
     """Run the job on CSV files.
 
-    The cleaned table is written to ``clean_path`` first: all later scans are
-    column-pruned Parquet reads, and a lost executor costs no CSV parsing.
+    The cleaned table is written to ``clean_path`` first, then the features with their
+    folds and the regression's predictions beside it: the fits and all reports on cleaned rows are
+    column-pruned Parquet reads, and a lost executor costs no CSV parsing. Only the
+    two reports on the raw rows parse the CSV again.
     """
     raw = load_incidents(spark, csv_path)
     cleaned_rows = clean(add_incident_id(raw))
     cleaned_rows.select("incident_id", *INCIDENT_COLUMNS).write.parquet(clean_path)
     cleaned = spark.read.parquet(clean_path)
 
-    features = stratified_folds(add_features(cleaned), k=folds).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        regression = fit_regression(features, trees)
-        cv = cross_validate(
-            features, classification_features(), lambda: classifier(trees), folds, parallelism
-        )
-        classification = fit_classification(features, trees)
-        write_enriched(score_and_price(features, classification), out_path)
-    finally:
-        features.unpersist()
+    features_path = f"{clean_path.rstrip('/')}-features"
+    stratified_folds(add_features(cleaned), k=folds).write.parquet(features_path)
+    features = spark.read.parquet(features_path)
+    regression = fit_regression(features, trees)
+    predictions_path = f"{clean_path.rstrip('/')}-predictions"
+    regression.transform(features).select("incident_id", "log_shore_distance", "prediction").write.parquet(predictions_path)
+    cv = cross_validate(features, classification_features(), lambda: classifier(trees), folds, parallelism)
+    classification = fit_classification(features, trees)
+    write_enriched(score_and_price(features, classification), out_path)
 
+    importances = feature_importances(spark, regression)
     enriched = spark.read.parquet(out_path).select("incident_id", *ENRICHED_COLUMNS)
     reports = {
         "raw_profile": table_profile(raw),
@@ -74,7 +76,8 @@ def run_batch(
         "outliers": outliers_iqr(cleaned, ["longitude", "latitude", "shore_distance"]),
         **explore(cleaned),
         "class_balance": class_balance(enriched),
-        "importances": feature_importances(spark, regression),
+        "importances": importances,
+        **model_tables(spark.read.parquet(predictions_path), importances, cv),
         "cv": cv,
         "cv_summary": cv_summary(cv),
         "overfitting": overfit_verdict(cv),

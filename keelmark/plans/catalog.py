@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelmark import constants as K
 from keelmark.functions.risk import risk_band
 from keelmark.functions.rounding import rounded
 from keelmark.operators import analytics as an
@@ -21,7 +23,7 @@ from keelmark.operators import sampling as sm
 from keelmark.operators.folds import stratified_folds
 from keelmark.plans.batch import enrich
 from keelmark.schema import (
-    ENRICHED_COLUMNS, FLOAT_COLUMNS, INTEGER_COLUMNS, NUMERIC_COLUMNS, PREMIUM_COLUMNS,
+    ENRICHED_COLUMNS, FLOAT_COLUMNS, INCIDENT_COLUMNS, INTEGER_COLUMNS, NUMERIC_COLUMNS, PREMIUM_COLUMNS,
     PREMIUM_TABLE_COLUMNS, RECORD_COLUMNS, TEXT_COLUMNS,
 )
 from keelmark.session import new_folder
@@ -30,9 +32,6 @@ from keelmark.sources import files as io
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The library fits 200 trees and 10 folds; the checked queries fit fewer on the same rows.
-CHECK_TREES = 5
-CHECK_FOLDS = 3
 ID = "incident_id"
 
 FILTERS = {
@@ -93,6 +92,12 @@ def _write_enriched(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path).select(ID, *ENRICHED_COLUMNS)
 
 
+def _write_enriched_csv(df: DataFrame) -> DataFrame:
+    path = new_folder(df.sparkSession, "enriched-csv")
+    io.write_enriched(df, path, "csv")
+    return _read_csv(df, path).select(ID, *ENRICHED_COLUMNS)
+
+
 def _export_filtered(df: DataFrame) -> DataFrame:
     chosen = an.filter_incidents(df, **FILTERS)
     path = new_folder(df.sparkSession, "filtered-csv")
@@ -140,36 +145,36 @@ def _one_hot(df: DataFrame) -> DataFrame:
     encoder = pp.fit_one_hot(_train(folded), columns)
     names = pp.one_hot_names(encoder, columns)
     encoded = encoder.transform(folded)
-    parts = [
-        pp.feature_values(encoded.withColumnRenamed(f"_hot_{c}", "features"), names[c]) for c in columns if names[c]
-    ]
-    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    return pp.feature_values(encoded, {f"_hot_{c}": names[c] for c in columns if names[c]})
 
 
 def _vectors(df: DataFrame) -> DataFrame:
     folded = stratified_folds(df)
     fitted = pp.fit_preprocessor(_train(folded), pp.classification_features())
-    values = pp.feature_values(fitted.transform(folded), fitted.names)
+    values = pp.feature_values(fitted.transform(folded), {"features": fitted.names})
     return values.withColumn("value", rounded("value", 6) + F.lit(0.0)).where(F.col("value") != 0)
 
 
 def _fixed_fold_scores(df: DataFrame) -> DataFrame:
     """Rows as every fold's model would score them, here with fixed probabilities.
 
-    The model of fold i shifts the percentage by i, so that the folds differ.
+    The model of fold i shifts the percentage by i, so that the folds differ. Equal
+    rows are counted before they are multiplied by the folds.
     """
-    folded = stratified_folds(df)
+    counted = stratified_folds(df).groupBy("fold", "attack_occurred", "attack_probability_pct").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     shifted = F.col("attack_probability_pct") + F.col("model_fold")
     probability = F.least(shifted, F.lit(100.0)) / 100
     return (
-        folded.withColumn("model_fold", F.explode(F.sequence(F.lit(0), F.lit(9))))
-        .select("model_fold", "fold", F.col("attack_occurred").alias("label"), probability.alias("probability"))
+        counted.withColumn("model_fold", F.explode(F.sequence(F.lit(0), F.lit(K.FOLDS - 1))))
+        .select("model_fold", "fold", F.col("attack_occurred").alias("label"), probability.alias("probability"), "n")
         .withColumn("prediction", F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0))
     )
 
 
 def _fold_table(df: DataFrame) -> DataFrame:
-    return ev.fold_metrics(_fixed_fold_scores(df))
+    return ev.fold_metrics(_fixed_fold_scores(df), "n")
 
 
 def _fixed_predictions(df: DataFrame) -> DataFrame:
@@ -178,48 +183,114 @@ def _fixed_predictions(df: DataFrame) -> DataFrame:
     return logged.withColumn("prediction", F.col("log_shore_distance") * 0.9 + F.col("attack_probability_pct") / 100)
 
 
-def _regression_rows(df: DataFrame) -> DataFrame:
-    return md.fit_regression(df, CHECK_TREES).transform(df).select(ID, "log_shore_distance", "prediction")
+def _better(rows: DataFrame, loss: Column, constant: Column) -> Column:
+    """Whether the whole table's loss is below that of its best constant, as a scalar."""
+    return rows.agg((F.avg(loss) < constant).alias("better")).scalar()
 
 
-def _classification_rows(df: DataFrame) -> DataFrame:
-    return md.fit_classification(df, CHECK_TREES).transform(df).select(
-        ID, "attack_occurred", "probability", "prediction"
+def _regression(df: DataFrame) -> tuple[md.FittedModel, DataFrame]:
+    """The fitted model and its predictions, written so that they are made once."""
+    fitted = md.fit_regression(df)
+    path = new_folder(df.sparkSession, "regression")
+    fitted.transform(df).select(ID, "log_shore_distance", "prediction").write.parquet(path)
+    return fitted, df.sparkSession.read.parquet(path)
+
+
+def _regression_rows(df: DataFrame) -> DataFrame:
+    _, rows = _regression(df)
+    target, prediction = F.col("log_shore_distance"), F.col("prediction")
+    better = _better(rows, F.pow(prediction - target, 2), F.var_pop(target))
+    return rows.select(
+        ID, rounded("log_shore_distance", 6).alias("log_shore_distance"),
+        (~F.isnan(prediction) & (F.abs(prediction) < 1e3)).alias("finite"), better.alias("better_than_constant"),
     )
 
 
 def _final_fit(df: DataFrame) -> DataFrame:
-    fitted = md.fit_regression(df, CHECK_TREES)
-    return ev.residuals(fitted.transform(df), "log_shore_distance", "prediction").select(
-        ID, "log_shore_distance", "prediction", "abs_residual"
+    _, rows = _regression(df)
+    checked = ev.residuals(rows, "log_shore_distance", "prediction")
+    ends = ev.joint_range(rows, "log_shore_distance", "prediction")
+    inside = (F.col("prediction") >= ends.select("low").scalar()) & (F.col("prediction") <= ends.select("high").scalar())
+    return checked.select(
+        ID, rounded("log_shore_distance", 6).alias("log_shore_distance"),
+        (F.col("abs_residual") == F.abs(F.col("log_shore_distance") - F.col("prediction"))).alias("residual_fits"),
+        inside.alias("in_joint_range"),
     )
 
 
 def _importances(df: DataFrame) -> DataFrame:
-    fitted = md.fit_regression(df, CHECK_TREES)
-    return ev.top_importances(md.feature_importances(df.sparkSession, fitted))
+    fitted = md.fit_regression(df)
+    found = md.feature_importances(df.sparkSession, fitted)
+    return found.select(
+        "feature", (F.col("importance").between(0, 1)).alias("is_share"),
+        rounded(found.agg(F.sum("importance").alias("s")).scalar(), 6).alias("total"),
+    )
 
 
-def _cross_validation(df: DataFrame) -> DataFrame:
-    folded = stratified_folds(df, k=CHECK_FOLDS).persist()
-    try:
-        return md.cross_validate(
-            folded, pp.classification_features(), lambda: md.classifier(CHECK_TREES), CHECK_FOLDS
-        )
-    finally:
-        folded.unpersist()
+def _scored(df: DataFrame) -> DataFrame:
+    """Score of every row by the classifier fitted on all of them, written so that it is made once."""
+    path = new_folder(df.sparkSession, "scores")
+    md.fit_classification(df).transform(df).select(ID, "attack_occurred", "probability", "prediction").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _classification_rows(df: DataFrame) -> DataFrame:
+    rows = _scored(df)
+    label, probability = F.col("attack_occurred").cast("double"), F.col("probability")
+    better = _better(rows, F.pow(probability - label, 2), F.var_pop(label))
+    return rows.select(
+        ID, "attack_occurred", probability.between(0, 1).alias("is_probability"),
+        (F.col("prediction") == (probability > 0.5).cast("double")).alias("prediction_fits"),
+        better.alias("better_than_constant"),
+    )
+
+
+def _in_bounds(pct: Column) -> Column:
+    return (pct.between(0, 100) & (rounded(pct, 2) == pct)).alias("pct_in_bounds")
 
 
 def _scores(df: DataFrame) -> DataFrame:
-    return md.score(df, md.fit_classification(df, CHECK_TREES)).select(ID, "attack_probability_pct", "risk_band")
+    scores = md.score(df, md.fit_classification(df))
+    pct = F.col("attack_probability_pct")
+    return scores.select(
+        ID, "attack_occurred", _in_bounds(pct), (F.col("risk_band") == risk_band(pct)).alias("band_follows")
+    )
+
+
+def _enriched(df: DataFrame) -> DataFrame:
+    """The enriched rows, with flags that say whether band and premiums follow from the percentage."""
+    path = new_folder(df.sparkSession, "enriched-rows")
+    enrich(df).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    again = pr.append_premiums(rows.drop(*PREMIUM_COLUMNS)).select(ID, *[F.col(c).alias(f"_{c}") for c in PREMIUM_COLUMNS])
+    pct = F.col("attack_probability_pct")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PREMIUM_COLUMNS])
+    return rows.join(again, ID).select(
+        ID, *INCIDENT_COLUMNS, "attack_occurred", _in_bounds(pct), (F.col("risk_band") == risk_band(pct)).alias("band_follows"),
+        same.alias("premiums_follow"),
+    )
+
+
+def _cross_validation(df: DataFrame) -> DataFrame:
+    path = new_folder(df.sparkSession, "folds")
+    features = pp.classification_features()
+    stratified_folds(df).select(ID, "fold", *features.columns, features.target).write.parquet(path)
+    folded = df.sparkSession.read.parquet(path)
+    found = md.cross_validate(folded, features, md.classifier)
+    return found.join(ev.base_rate_brier(folded), "fold").select(
+        "fold", "train_rows", "test_rows", F.col("acc_train").between(0, 1).alias("acc_train_is_share"),
+        F.col("acc_test").between(0, 1).alias("acc_test_is_share"), (F.col("brier_test") < F.col("base_brier")).alias("better_than_base_rate"),
+    )
 
 
 QUERIES: dict[str, Query] = {
     # Sources and sinks
     "s1_load_csv": raw(_load_csv),
     "s2_write_enriched": priced(_write_enriched),
+    "s2_write_enriched_csv": priced(_write_enriched_csv),
     "s3_export_filtered": scored(_export_filtered),
     "s4_export_results": scored(_export_results),
+    "s4_export_filtered_results": scored(lambda df: _export_results(an.filter_incidents(df, **FILTERS))),
     "s5_export_premiums": priced(_export_premiums),
     # Profiling
     "p1_table_profile": raw(pf.table_profile),
@@ -227,7 +298,7 @@ QUERIES: dict[str, Query] = {
     "p3_numeric_summary": cleaned(lambda df: pf.numeric_summary(df, digits=6)),
     "p4_outliers_iqr": cleaned(lambda df: pf.outliers_iqr(df, FLOAT_COLUMNS, digits=6)),
     "p5_correlation": cleaned(lambda df: pf.correlation_with(df, digits=6)),
-    "p6_explore": cleaned(lambda df: pf.explore(df)["correlation"]),
+    "p6_explore": cleaned(pf.explore_rows),
     # Cleaning
     "c1_coerce_integers": raw(lambda df: cl.coerce_integers(df).select(ID, *INTEGER_COLUMNS)),
     "c2_coerce_floats": raw(lambda df: cl.coerce_floats(df).select(ID, *FLOAT_COLUMNS)),
@@ -293,7 +364,7 @@ QUERIES: dict[str, Query] = {
     "m17_risk_band": cleaned(lambda df: df.select(
         ID, risk_band((F.col(ID) % 10001 * 7907 % 10001).cast("double") / 100).alias("risk_band")
     )),
-    "m18_enrich": cleaned(lambda df: enrich(df, CHECK_TREES)),
+    "m18_enrich": cleaned(_enriched),
     "m19_residuals": scored(lambda df: _rounded(
         ev.residuals(_fixed_predictions(df), "log_shore_distance", "prediction"),
         ["log_shore_distance", "prediction", "abs_residual"],
@@ -305,9 +376,12 @@ QUERIES: dict[str, Query] = {
     "a1_region_multiplier": cleaned(lambda df: pr.add_region_multiplier(df).select(ID, "region", "lambda_region")),
     "a2_append_premiums": priced(lambda df: df.select(ID, *PREMIUM_COLUMNS)),
     "a3_quote_premiums": _on(src.quote_requests, lambda df: pr.quote_premiums(df, "quarantine")),
-    "a4_band_of_probability": _on(src.quote_requests, lambda df: pr.band_of_probability(
-        df.where(F.col("p_attack").between(0, 1)), "p_attack"
-    ).select("request_id", "risk_band")),
+    "a3_quote_valid": _on(src.quote_requests, lambda df: pr.quote_premiums(
+        df.where((F.col("p_attack") >= 0) & (F.col("p_attack") <= 1) & (F.coalesce("insured_value", F.lit(1.0)) > 0)), "fail"
+    )),
+    "a4_band_of_probability": _on(
+        src.quote_requests, lambda df: pr.band_of_probability(df, "p_attack").select("request_id", "risk_band")
+    ),
     "a5_premium_statistics": priced(pr.premium_statistics),
     "a6_premium_by_band": priced(pr.premium_by_band),
     "a7_price_scenarios": scored(lambda df: pr.price_scenarios(df, SCENARIOS)),

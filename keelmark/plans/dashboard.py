@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from keelmark.operators import analytics as an
+from keelmark.operators import evaluation as ev
 from keelmark.operators import sampling as sm
 from keelmark.operators.premium import ensure_premiums
 
 
+def model_tables(predictions: DataFrame, importances: DataFrame, folds: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the two model tabs.
+
+    ``predictions`` has the regression's log_shore_distance and prediction per row,
+    ``importances`` its features, ``folds`` the classifier's metrics per fold.
+    """
+    return {
+        "predicted_vs_actual": ev.residuals(predictions, "log_shore_distance", "prediction"),
+        "joint_range": ev.joint_range(predictions, "log_shore_distance", "prediction"),
+        "top_importances": ev.top_importances(importances),
+        "cv_table": ev.cv_table(folds),
+        "cv_kpis": ev.cv_kpis(folds),
+    }
+
+
 def dashboard_tables(table: DataFrame, **filters) -> dict[str, DataFrame]:
-    """Lazy tables over the scored table, by name.
+    """Lazy tables over the scored table, by name; ``model_tables`` has those of the models.
 
     The filters apply to the record samples and to the probability tab; the
     other tabs describe the whole table. Write the scored table once (partitioned

@@ -293,6 +293,35 @@ def _correlation(digits: int) -> str:
     ])
 
 
+def _explored() -> str:
+    """The three profiles as one long table."""
+    parts = [
+        f"SELECT 'categories' AS profile, \"column\", value AS item, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({_categories()}) c"
+        for m in ("rank", "n", "n_distinct", "n_more")
+    ] + [
+        f"SELECT 'numbers', \"column\", '', '{m}', rint(CAST({m} AS DOUBLE), 4) FROM ({_summary()}) s"
+        for m in ("count", "mean", "std", "min", "q25", "q50", "q75", "max", "skew")
+    ]
+    return _union([*parts, f"SELECT 'correlation', \"column\", '', 'correlation', correlation FROM ({_correlation(4)}) r"])
+
+
+def _fold_checks() -> str:
+    return """SELECT fold, (SELECT count(*) FROM folded) - count(*) AS train_rows, count(*) AS test_rows,
+TRUE AS acc_train_is_share, TRUE AS acc_test_is_share, TRUE AS better_than_base_rate FROM folded GROUP BY fold"""
+
+
+def _feature_names() -> str:
+    numeric = _union([
+        f"SELECT 'num__{c}' AS feature" for c in
+        [*MODEL_DOUBLES, *MODEL_INTS]
+    ])
+    encoded = _union([
+        f"SELECT DISTINCT 'cat__{c}_' || {c} AS feature FROM features WHERE {c} <> (SELECT min({c}) FROM features)"
+        for c in ("region", "country_grouped")
+    ])
+    return f"SELECT feature, TRUE AS is_share, 1e0 AS total FROM ({_union([numeric, encoded])}) names"
+
+
 def _report() -> str:
     complete = " AND ".join(f"{c} IS NOT NULL" for c in NUMBERS)
     plausible = (
@@ -437,8 +466,10 @@ MAP_COLUMNS = "incident_id, latitude, longitude, region, year, attack_type, vess
 ORACLE_SQL: dict[str, str] = {
     "s1_load_csv": raw(f"SELECT incident_id, {NA_CASES} FROM raw_incidents"),
     "s2_write_enriched": priced(f"SELECT {ENRICHED} FROM priced"),
+    "s2_write_enriched_csv": priced(f"SELECT {ENRICHED} FROM priced"),
     "s3_export_filtered": scored(f"SELECT * FROM scored WHERE {CHOSEN}"),
     "s4_export_results": scored(f"SELECT {RECORD} FROM scored"),
+    "s4_export_filtered_results": scored(f"SELECT {RECORD} FROM scored WHERE {CHOSEN}"),
     "s5_export_premiums": priced(f"SELECT {PREMIUM_TABLE} FROM priced"),
 
     "p1_table_profile": raw(_profile()),
@@ -446,7 +477,7 @@ ORACLE_SQL: dict[str, str] = {
     "p3_numeric_summary": cleaned(_summary()),
     "p4_outliers_iqr": cleaned(_outliers()),
     "p5_correlation": cleaned(_correlation(6)),
-    "p6_explore": cleaned(_correlation(4)),
+    "p6_explore": cleaned(_explored()),
 
     "c1_coerce_integers": raw(
         "SELECT incident_id, TRY_CAST(year AS INT) AS year, TRY_CAST(month AS INT) AS month FROM raw_incidents"
@@ -500,6 +531,22 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "m5_one_hot": featured(_union([_hot("region"), _hot("country_grouped")]), FOLDED.format(table="features")),
     "m6_feature_vectors": featured(_vectors(), *_vector_ctes()),
+    "m7_fit_regression": featured(
+        "SELECT incident_id, rint(log_shore_distance, 6) AS log_shore_distance, TRUE AS finite, TRUE AS better_than_constant FROM features"
+    ),
+    "m8_fit_classification": featured(
+        "SELECT incident_id, attack_occurred, TRUE AS is_probability, TRUE AS prediction_fits, TRUE AS better_than_constant FROM features"
+    ),
+    "m9_final_fit": featured(
+        "SELECT incident_id, rint(log_shore_distance, 6) AS log_shore_distance, TRUE AS residual_fits, TRUE AS in_joint_range FROM features"
+    ),
+    "m10_feature_importances": featured(_feature_names()),
+    "m12_cross_validation": featured(_fold_checks(), FOLDED.format(table="features")),
+    "m16_score_rows": featured("SELECT incident_id, attack_occurred, TRUE AS pct_in_bounds, TRUE AS band_follows FROM features"),
+    "m18_enrich": scored(
+        "SELECT incident_id, year, month, longitude, latitude, attack_type, vessel_status, shore_distance, nearest_country, region, "
+        "attack_occurred, TRUE AS pct_in_bounds, TRUE AS band_follows, TRUE AS premiums_follow FROM scored"
+    ),
     "m11_stratified_folds": _with(
         "SELECT incident_id, attack_occurred, fold FROM folded", INCIDENTS, SCORED, FOLDED.format(table="scored")
     ),
@@ -528,9 +575,12 @@ ORACLE_SQL: dict[str, str] = {
     "a1_region_multiplier": priced("SELECT incident_id, region, lambda_region FROM priced"),
     "a2_append_premiums": priced(f"SELECT incident_id, {PREMIUM} FROM priced"),
     "a3_quote_premiums": _with(_quotes(), INCIDENTS, REQUESTS, MULTIPLIERS),
+    "a3_quote_valid": _with(
+        f"SELECT * EXCLUDE (error) FROM ({_quotes()}) q WHERE error IS NULL", INCIDENTS, REQUESTS, MULTIPLIERS
+    ),
     "a4_band_of_probability": _with(
         "SELECT request_id, CASE WHEN p_attack * 100e0 < 25 THEN 'Low' WHEN p_attack * 100e0 < 50 THEN 'Moderate' "
-        "WHEN p_attack * 100e0 < 75 THEN 'High' ELSE 'Critical' END AS risk_band FROM requests WHERE p_attack BETWEEN 0 AND 1",
+        "WHEN p_attack * 100e0 < 75 THEN 'High' ELSE 'Critical' END AS risk_band FROM requests",
         INCIDENTS, REQUESTS,
     ),
     "a5_premium_statistics": priced(_statistics()),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# --- Fixed values: column names and their order, which are the output contract ---
 INTEGER_COLUMNS = ["year", "month"]
 FLOAT_COLUMNS = ["longitude", "latitude", "shore_distance"]
 NUMERIC_COLUMNS = ["year", "month", "longitude", "latitude", "shore_distance"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,8 +28,8 @@ def build_session(app: str = "keelmark", master: str | None = None, **conf: obje
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own: on a
-    cluster a machine-local folder would be lost with its machine.
+    Only a local session without that setting gets a folder of its own, which goes
+    when the program ends: on a cluster a machine-local folder would be lost with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -35,6 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="keelmark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

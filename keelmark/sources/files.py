@@ -19,7 +19,7 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
-REPEATS_PER_BLOCK = 10_000
+COPIES_PER_BLOCK = 10_000
 
 
 def _without_na(raw: DataFrame) -> DataFrame:
@@ -47,26 +47,21 @@ def load_incident_stream(spark: SparkSession, path: str, schema: T.StructType =
 def add_incident_id(df: DataFrame, name: str = "incident_id") -> DataFrame:
     """A text key for files that have none, the same on every read.
 
-    Equal rows are counted first and then dealt out again with numbers. A row
-    with very many copies is dealt out in blocks that go to different tasks.
+    Equal rows are counted first and then dealt out again with numbers, in blocks of
+    copies that go to different tasks.
     """
     columns = df.columns
     digest = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
     n = F.col("_n")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    few = counted.where(n <= REPEATS_PER_BLOCK).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    blocks = counted.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES_PER_BLOCK)))
     )
-    blocks = counted.where(n > REPEATS_PER_BLOCK).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / REPEATS_PER_BLOCK)))
+    first = F.col("_block") * COPIES_PER_BLOCK
+    dealt = blocks.repartition(*columns, "_block").withColumn(
+        "_copy", F.explode(F.sequence(first, F.least(first + COPIES_PER_BLOCK, n) - 1))
     )
-    first = F.col("_block") * REPEATS_PER_BLOCK
-    many = (
-        blocks.repartition(*columns, "_block")
-        .withColumn("_copy", F.explode(F.sequence(first, F.least(first + REPEATS_PER_BLOCK, n) - 1)))
-        .drop("_block")
-    )
-    return few.unionByName(many).select(
+    return dealt.select(
         F.concat_ws("-", digest, F.col("_copy").cast("string")).alias(name), *columns
     )
 

@@ -16,7 +16,7 @@ from keelmark.operators import premium as pr
 from keelmark.operators import profiling as pf
 from keelmark.operators import sampling as sm
 from keelmark.operators.folds import hashed_folds, stratified_folds
-from keelmark.operators.quantiles import column_quantiles, exact_quantiles
+from keelmark.operators.quantiles import column_quantiles, exact_quantiles, with_order_key
 from keelmark.schema import INCIDENT_SCHEMA, QUOTE_SCHEMA, RAW_SCHEMA
 
 GOOD = ("2001", "5", "10.5", "-3.25", "Boarded", "Anchored", "12.5", "AAA", "South Asia")
@@ -80,8 +80,8 @@ def test_exact_quantiles_match_numpy(spark):
     rows += [("mixed", None), ("mixed", float("nan")), ("empty", None)]
     df = spark.createDataFrame(rows, "k string, x double").repartition(5)
     probabilities = {"p0": 0.0, "p1": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p999": 0.999, "p100": 1.0}
-    for few_keys, repeated in ((True, False), (False, True)):
-        out = {r.k: r for r in exact_quantiles(df, ["k"], "x", probabilities, few_keys, repeated).collect()}
+    for fixed_keys, repeated in ((True, False), (True, True), (False, None)):
+        out = {r.k: r for r in exact_quantiles(df, ["k"], "x", probabilities, fixed_keys, repeated).collect()}
         assert set(out) == set(_samples())
         for k, xs in _samples().items():
             got = [out[k][name] for name in probabilities]
@@ -89,10 +89,7 @@ def test_exact_quantiles_match_numpy(spark):
 
 
 def test_quantiles_of_many_keys_are_shuffled(spark):
-    from keelmark.operators.quantiles import has_few_keys
-
     df = spark.range(6000).select((F.col("id") % 300).alias("k"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
-    assert has_few_keys(df, ["k"]) and not has_few_keys(df, ["k"], limit=299)
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -102,6 +99,32 @@ def test_quantiles_of_many_keys_are_shuffled(spark):
     assert out == {k: np.median([i * 7 % 1000 for i in range(k, 6000, 300)]) for k in range(300)}
 
 
+def test_order_keys_follow_the_bits_of_doubles(spark):
+    rng = np.random.default_rng(0)
+    values = rng.integers(-2 ** 63, 2 ** 63 - 1, 5000, dtype=np.int64).view(np.float64)
+    values = [*values[~np.isnan(values)].tolist(), 0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, float("inf"), float("-inf"), 1.7976931348623157e308]
+    values += [2.0 ** k for k in range(-1074, 1024, 7)] + [float(np.nextafter(2.0 ** k, 0)) for k in range(-1021, 1024, 7)]
+    for r in with_order_key(spark.createDataFrame([(x,) for x in values], "_value double")).collect():
+        bits = int(np.float64(abs(r["_value"])).view(np.int64))
+        assert r["_key"] == (-bits if r["_value"] < 0 else bits)
+
+
+def test_tight_clusters_are_split_in_every_round(spark, monkeypatch):
+    from keelmark.operators import quantiles as q
+
+    xs = [1.0 + i * 1e-13 for i in range(50_000)] + [1.007]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select(F.lit("a").alias("k"), "x")
+    most, keep = [], q._keep_wanted
+
+    def counted(counts, within, order, probabilities):
+        most.append(counts.groupBy(*within).count().agg(F.max("count")).first()[0])
+        return keep(counts, within, order, probabilities)
+    monkeypatch.setattr(q, "_keep_wanted", counted)
+    out = exact_quantiles(df, ["k"], "x", {"m": 0.5, "p": 0.99}, fixed_keys=True).first()
+    assert [out.m, out.p] == pytest.approx(list(np.quantile(xs, [0.5, 0.99])), rel=1e-15)
+    assert len(most) == 4 and max(most) <= 65_536 and most[0] < 5
+
+
 def test_sketched_quantiles_are_close(spark):
     df = spark.range(10001).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2).alias("b"))
     out = {r["column"]: r for r in column_quantiles(df, ["a", "b"], {"q": 0.5}, exact=False).collect()}

@@ -13,7 +13,7 @@ from keelmark.operators.cleaning import clean
 from keelmark.operators.features import add_features
 from keelmark.operators.folds import stratified_folds
 from keelmark.plans.catalog import QUERIES
-from keelmark.schema import RAW_SCHEMA
+from keelmark.schema import RAW_SCHEMA, RECORD_COLUMNS
 
 
 def plan(df, mode="simple"):
@@ -104,6 +104,29 @@ def test_quantiles_shuffle_histograms_only(spark, scored):
             assert any(k in below for k in ("HashAggregate", "SortAggregate", "Window", "Filter")), below
 
 
+def test_quantiles_of_free_keys_run_no_job_when_built(spark, scored):
+    tracker, group = spark.sparkContext.statusTracker(), "built-only"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        an.distance_by_region(scored)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(tracker.getJobIdsForGroup(group))
+
+
+def test_first_rows_keep_the_partitions_of_the_scan(spark):
+    many = spark.range(40_000, numPartitions=9000).select(
+        F.col("id").alias("incident_id"), *[F.lit(0).alias(c) for c in RECORD_COLUMNS]
+    )
+    assert "Coalesce" not in plan(sm.sample_records(many))
+
+
+def test_median_is_of_unrounded_values(spark):
+    df = spark.createDataFrame([(12.341,), (12.344,), (12.346,), (None,)], "attack_probability_pct double")
+    assert an.median_probability(df).first()[0] == 12.344
+    assert an.median_probability(df.limit(0)).first()[0] is None
+
+
 def test_fold_ranks_are_joined_without_moving_the_rows_again(spark, scored):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)

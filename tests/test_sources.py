@@ -50,7 +50,7 @@ def test_keys_are_stable_and_number_equal_rows(spark, csv_path):
 
 
 def test_many_equal_rows_are_dealt_out_in_blocks(spark):
-    n = 3 * io.REPEATS_PER_BLOCK + 7
+    n = 3 * io.COPIES_PER_BLOCK + 7
     df = spark.range(n).select(F.lit("same").alias("a"), F.lit(None).cast("string").alias("b"))
     keyed = io.add_incident_id(df)
     assert keyed.columns == ["incident_id", "a", "b"]
@@ -93,6 +93,13 @@ def test_batch_job(spark, sf_dir):
     for name, table in result.reports.items():
         assert table.count() > 0, name
 
+    reports = result.reports
+    assert reports["predicted_vs_actual"].count() == report.rows_out
+    ends = reports["joint_range"].first()
+    assert ends.low <= reports["predicted_vs_actual"].agg(F.min("prediction")).first()[0] <= ends.high
+    assert 0 < reports["top_importances"].count() <= 25 and reports["top_importances"].first().relative == 1.0
+    assert reports["cv_table"].count() == 2 and reports["cv_kpis"].first().mean_brier > 0
+
     tables = dashboard_tables(result.enriched, regions=["South Asia"], years=(1995, 2001))
     assert len(tables) == 31
     in_region = result.enriched.where("region = 'South Asia'").count()
