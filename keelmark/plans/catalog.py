@@ -276,7 +276,7 @@ def _cross_validation(df: DataFrame) -> DataFrame:
     features = pp.classification_features()
     stratified_folds(df).select(ID, "fold", *features.columns, features.target).write.parquet(path)
     folded = df.sparkSession.read.parquet(path)
-    found = md.cross_validate(folded, features, md.classifier)
+    found = md.cross_validate(folded, features, md.classifier, parallelism=K.FOLDS)
     return found.join(ev.base_rate_brier(folded), "fold").select(
         "fold", "train_rows", "test_rows", F.col("acc_train").between(0, 1).alias("acc_train_is_share"),
         F.col("acc_test").between(0, 1).alias("acc_test_is_share"), (F.col("brier_test") < F.col("base_brier")).alias("better_than_base_rate"),
