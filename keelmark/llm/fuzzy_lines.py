@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keelmark.llm.components import connected_components
 from keelmark.llm.runtime import prepare, saved, shuffle_partitions
-from keelmark.llm.words import Rolling, mixed
+from keelmark.llm.words import Rolling, in_chunks, mixed
 from keelmark.session import new_folder
 
 SIMILARITY, SHINGLE = 0.8, 8
@@ -26,17 +26,22 @@ _EMPTY = np.uint64((1 << 64) - 1)
 _SOURCES = np.stack([np.random.default_rng(20_240_700 + j).permutation(_BINS) for j in range(_BINS)])
 
 
-def shingles(line: str) -> set[str]:
-    """The distinct stretches of ``SHINGLE`` characters; a shorter line is its only one."""
-    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): 64-bit hashes of every line's stretches of ``SHINGLE`` characters, one line after the
+    other, and how many each has. A shorter line is its only shingle."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    start = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+    stop = start + np.repeat(np.minimum(sizes, SHINGLE), counts)
+    return Rolling(mixed(codes + np.uint64(1))).of(start, stop), counts
 
 
-def similar(a: set[str], b: set[str], least: float = SIMILARITY) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < least * len(large):
-        return False
-    both = len(small & large)
-    return both >= least * (len(a) + len(b) - both)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingle hashes of every line, in order."""
+    hashes, counts = shingle_hashes(lines)
+    ends = np.cumsum(counts).tolist()
+    return [np.unique(hashes[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
@@ -45,13 +50,8 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     Each shingle's hash falls into one bin, whose least hash counts. An empty bin borrows from the first filled one of its own
     random order, which leaves equal lines equal and the chance of agreement the Jaccard similarity.
     """
-    sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    hashes, counts = shingle_hashes(lines)
     line = np.repeat(np.arange(len(lines)), counts)
-    start = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(sizes) - sizes, counts)
-    stop = start + np.repeat(np.minimum(sizes, SHINGLE), counts)
-    hashes = Rolling(mixed(codes + np.uint64(1))).of(start, stop)
     bins = ((hashes >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
     table = np.full(len(lines) * _BINS, _EMPTY, dtype=np.uint64)
     np.minimum.at(table, line * _BINS + bins.astype(np.int64), mixed(hashes) >> np.uint64(1))
@@ -121,39 +121,58 @@ def _fetch(lines: pa.Table, wanted: pa.Table) -> pa.Table:
     return pa.table([wanted.column("group"), wanted.column("uid"), texts], names=["group", "uid", "line"])
 
 
-def links(uids: list[int], lines: list[str]) -> list[tuple[int, int]]:
+def links(uids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that connect what exact similarities connect. Searched breadth first, so n lines yield fewer than n."""
-    left = [(u, shingles(x)) for u, x in dict(zip(uids, lines)).items()]
-    out = []
-    while left:
-        todo = [left.pop()]
-        while todo and left:
-            u, mine = todo.pop()
-            rest = []
-            for other in left:
-                if similar(mine, other[1]):
-                    out.append((u, other[0]))
-                    todo.append(other)
-                else:
-                    rest.append(other)
-            left = rest
+    if len(uids) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [tuple(uids)] if both >= SIMILARITY * (len(sets[0]) + len(sets[1]) - both) else []
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(codes.max()) + 1, dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    own = [codes[a:a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
+    left = np.arange(len(uids))  # lines not reached yet, whose codes lie in ``flat``
+    flat, begin = codes, starts
+    out, todo = [], []
+    while len(left):
+        if todo:
+            x = todo.pop()
+        else:
+            x, keep = left[0], np.arange(1, len(left))
+            left = left[keep]
+            flat, begin = flat[int(sizes[x]):], begin[1:] - int(sizes[x])
+            if not len(left):
+                break
+        mark[own[x]] = 1
+        both = np.add.reduceat(mark[flat], begin)
+        mark[own[x]] = 0
+        hit = both >= SIMILARITY * (sizes[x] + sizes[left] - both)
+        if hit.any():
+            found = left[hit]
+            out += [(uids[x], uids[y]) for y in found.tolist()]
+            todo += found.tolist()
+            flat = flat[np.repeat(~hit, sizes[left])]
+            left = left[~hit]
+            begin = np.cumsum(sizes[left]) - sizes[left]
     return out
 
 
 def _comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by group."""
-    group, uids, lines = None, [], []
+    group, uids, sets = None, [], []
     for batch in batches:
+        groups, ids, lines = (c.to_pylist() for c in batch.columns)
         edges = []
-        for g, u, x in zip(*(c.to_pylist() for c in batch.columns)):
-            if g != group:
-                edges += links(uids, lines) if len(uids) > 1 else []
-                group, uids, lines = g, [], []
-            uids.append(u)
-            lines.append(x)
+        for a, b in in_chunks(lines):
+            for g, u, x in zip(groups[a:b], ids[a:b], shingle_sets(lines[a:b])):
+                if g != group:
+                    edges += links(uids, sets) if len(uids) > 1 else []
+                    group, uids, sets = g, [], []
+                uids.append(u)
+                sets.append(x)
         yield _edges(edges)
     if len(uids) > 1:
-        yield _edges(links(uids, lines))
+        yield _edges(links(uids, sets))
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -173,7 +192,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Two lines are linked if their sets of 8-character shingles have a Jaccard similarity of at least 0.8. Of every
     connected group the line whose first place comes first is kept: the smallest doc_id (null last), then line_no. Candidates are lines that share a band of their
-    MinHash signatures, so a few links near the threshold are missed, while every link made is exact. Null and empty texts have no lines.
+    MinHash signatures, so a few links near the threshold are missed, while every link made is exact (over 64-bit hashes of the shingles). Null and empty texts have no lines.
 
     Equal lines are one row from the first aggregate on. Lines of a band meet at its first line, so one pair of lines is usually compared in one
     group, not in twelve; a group of more than ``BLOCK`` lines is cut into blocks, of which each pair is a group of its own. Distinct lines are

@@ -3,11 +3,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from keelmark.llm.fuzzy_lines import band_hashes, fuzzy_lines, links, shingles
+from keelmark.llm.fuzzy_lines import SHINGLE, band_hashes, fuzzy_lines, links, shingle_sets
 from keelmark.llm.queries import op6_line_dedup
 from tests.llm.cases import SCHEMA, edge_frame, edge_rows, table_rows
 
 
+def shingles(line):
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
 def jaccard(a, b):
     a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b)
@@ -108,5 +112,8 @@ def test_links_connect_chains():
     a = "".join(chr(97 + i % 26) + str(i) for i in range(60))
     chain = [a[i:i + 150] for i in range(0, 12, 3)]
     assert jaccard(chain[0], chain[1]) >= 0.8
-    pairs = links(list(range(len(chain))), chain)
+    pairs = links(list(range(len(chain))), shingle_sets(chain))
     assert len(pairs) == len(chain) - 1
+    assert [len(x) for x in shingle_sets([*chain, "", "ab", "aaaaaaaaaaaaaa"])] == [len(shingles(x)) for x in [*chain, "", "ab", "aaaaaaaaaaaaaa"]]
+    assert links([5, 9], shingle_sets([chain[0], "something else"])) == []
+    assert links([5, 9], shingle_sets([chain[0], chain[1]])) == [(5, 9)]
