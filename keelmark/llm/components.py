@@ -69,7 +69,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     before = None
     while True:
-        stars = now.mapInArrow(_local_forests, "u long, v long")
+        # Written, as it is read three times and may be costly to make in the first round.
+        stars = saved(now.mapInArrow(_local_forests, "u long, v long"), "forests")
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: u's larger neighbours move to the smallest of u and its neighbours
         lowest = _smallest(both).select("u", F.least("u", "m").alias("m"))
