@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelmark.llm.runtime import prepare
+from keelmark.llm.runtime import prepare, tidy
 from keelmark.llm.words import in_chunks
 
 # How texts are cut before merging.
@@ -22,7 +22,7 @@ WORD_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that the library itself encodes: they may compose, or hold a special token.
 UNUSUAL = re.compile("[\u0250-\U0010ffff]|<[|]")
 #: Pieces whose ids a task remembers, and the longest that it does.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 _NONE = np.iinfo(np.int64).max
 _BESIDE = re.compile(r"\s(?:\s|\Z)")
 _SPACE = re.compile(r" (?=\S)")
@@ -178,11 +178,7 @@ class WordBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.tokenizer = path, None
         model, self.special, size = read_model(path)
         end = model["end_of_word_suffix"]
         self.of_byte, self.of_last = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
@@ -193,6 +189,12 @@ class WordBpe:
         self.ids: dict[bytes, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
+        if words and self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
 
     def _merged(self, words: list[str]) -> list[bytes]:
@@ -287,5 +289,5 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

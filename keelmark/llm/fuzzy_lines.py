@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.llm.components import connected_components
-from keelmark.llm.runtime import prepare, saved, shuffle_partitions
+from keelmark.llm.runtime import prepare, saved, shuffle_partitions, tidy
 from keelmark.llm.words import Rolling, in_chunks, mixed
 from keelmark.session import new_folder
 
@@ -210,7 +210,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     lines = spark.table(table)
     meetings = saved(
-        lines.select("uid", "line").mapInArrow(_bands, "band long, uid long")
+        lines.select("uid", "line").mapInArrow(tidy(_bands), "band long, uid long")
         .repartition("band").sortWithinPartitions("band", "uid").mapInArrow(_meeting, "uid long, rep long").distinct(),
         "meetings",
     )
@@ -226,7 +226,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edges = (
         lines.select("part", "uid", "line").groupBy("part").cogroup(wanted.groupBy("part"))
         .applyInArrow(_fetch, "group long, uid long, line string")
-        .repartition("group").sortWithinPartitions("group").mapInArrow(_comparing, "a long, b long")
+        .repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_comparing), "a long, b long")
     )
     components = connected_components(edges)
     placed = lines.select("uid", "first", "copies").join(components.withColumnRenamed("node", "uid"), "uid", "left").select(

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelmark.llm.runtime import hashed_mod, prepare
+from keelmark.llm.runtime import hashed_mod, prepare, tidy
 from keelmark.llm.sampling import sample_texts
 
 UNKNOWN = "und"
 #: The fit: at most so many rows of at most so many bytes a language, until they hold so many bytes.
 SAMPLE_ROWS, ROW_BYTES, SAMPLE_BYTES = 64, 4_000, 24_000
 #: Texts are parsed in pieces of so many bytes, many pieces at a time.
-PIECE, TOGETHER = 512, 4_000_000
+PIECE, TOGETHER = 512, 1_000_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -163,7 +163,7 @@ def identify_languages(docs: DataFrame, parser: CrossParser, text_col: str = "te
                     )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

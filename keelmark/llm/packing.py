@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.llm.bpe import WordBpe
-from keelmark.llm.runtime import prepare, saved
+from keelmark.llm.runtime import prepare, saved, tidy
 from keelmark.llm.words import in_chunks
 
 WINDOW = 4096
@@ -25,7 +25,7 @@ def _tokenizing(path: str, end_id: int):
         bpe, end = WordBpe(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in in_chunks(texts):
+            for a, b in in_chunks(texts, 1_000_000):
                 ids = [x + end for x in bpe.encode([t.split() for t in texts[a:b]])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -123,13 +123,13 @@ def _pack_group(key: tuple, pieces: pa.Table) -> pa.Table:
     )
 
 
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
+
+
 def cut_documents(tokens: DataFrame) -> DataFrame:
     """Pieces of (doc_id, ids): full windows of a long document and what is left of it."""
     prepare(tokens.sparkSession)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(
-        _pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    )
+    return tokens.mapInArrow(_pieces, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def pack(pieces: DataFrame) -> DataFrame:
@@ -150,7 +150,12 @@ def pack(pieces: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece of every text.
 
-    Tokens are made once: the pieces, without their ids, are a narrow written table.
+    Tokens are made once and cut in the same worker: the pieces, without their ids, are a narrow written table.
     """
-    tokens = token_ids(docs, path, id_col, text_col)
-    return pack(saved(cut_documents(tokens), "pieces"))
+    prepare(docs.sparkSession)
+    tokenize = _tokenizing(path, END_ID)
+    kind = docs.schema[id_col].dataType.simpleString()
+    pieces = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
+        tidy(lambda batches: _pieces(tokenize(batches))), f"doc_id {kind}, {PIECES}"
+    )
+    return pack(saved(pieces, "pieces"))

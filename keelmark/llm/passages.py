@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelmark.llm.runtime import prepare, saved
+from keelmark.llm.runtime import give_back, prepare, saved, tidy
 from keelmark.llm.words import Rolling, Words, in_chunks
 from keelmark.session import new_folder
 
 #: Words of a window, and of the stretch inside it that names it.
 WINDOW, ANCHOR = 50, 8
 #: Bytes of text in a shard, and the most files that the shards are dealt to.
-SHARD_BYTES, FILES = 8_000_000, 20_000
+SHARD_BYTES, FILES = 3_000_000, 20_000
 LAST_ID = (1 << 63) - 1
 _PLACE_BITS = 26
 
@@ -109,6 +109,7 @@ WINDOWS = "window long, id long, uid long, shard int, start int"
 
 def _windows(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     """The windows of the wanted segments."""
+    give_back()
     out = {k: [np.empty(0, np.int64)] for k in ("window", "id", "uid", "start")}
     starts, sizes, uids = (wanted.column(c).to_numpy() for c in ("start", "size", "uid"))
     for id_, text, rows in _chosen_rows(docs, wanted):
@@ -197,6 +198,7 @@ class Automaton:
 
 def _streaming(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """All documents of a shard through the automaton of the passages that it needs."""
+    give_back()
     automaton = Automaton(phrases.column("phrase").to_pylist(), phrases.column("first").to_pylist())
     counts, removed, kept_texts, digests = [], [], [], []
     for id_, text in zip(docs.column("id").to_pylist(), docs.column("text").cast(pa.binary())):
@@ -250,12 +252,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = spark.table(table)
     texts = rows.select("id", "uid", "shard", F.col(f"row.`{text_col}`").cast("string").alias("text"))
 
-    anchors = texts.mapInArrow(_anchors, "anchor long, id long")
+    anchors = texts.mapInArrow(tidy(_anchors), "anchor long, id long")
     recurring = saved(
         anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), "anchors"
     )
     found = saved(
-        texts.mapInArrow(_segments, "anchor long, body long, id long, uid long, shard int, start int, size int")
+        texts.mapInArrow(tidy(_segments), "anchor long, body long, id long, uid long, shard int, start int, size int")
         .join(recurring, "anchor", "left_semi"),
         "segments",
     )

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelmark.llm.runtime import hashed_mod, prepare
+from keelmark.llm.runtime import hashed_mod, prepare, tidy
 from keelmark.llm.sampling import sample_texts
 
 #: The fit: at most so many texts of at most so many bytes for each label, half for the dictionaries, half for calibration.
@@ -128,7 +128,7 @@ def score_quality(docs: DataFrame, model: CompressionClassifier | float, text_co
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(tidy(run), f"{schema}, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from keelmark.llm.components import connected_components
-from keelmark.llm.runtime import prepare, saved
+from keelmark.llm.runtime import prepare, saved, tidy
 
 SEED = 42
 DISTANCE = 4
@@ -158,7 +158,7 @@ def near_duplicates(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = saved(
         docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        .mapInArrow(_fingerprints, f"id {kind}, print long"),
+        .mapInArrow(tidy(_fingerprints), f"id {kind}, print long"),
         "simhash",
     )
     classes = saved(rows.groupBy("print").agg(F.min("id").alias("first")), "simhash-classes")

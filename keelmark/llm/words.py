@@ -67,7 +67,7 @@ class Words:
         return Rolling(_BYTE[self._codes]).of(self.start, self.stop)
 
 
-def in_chunks(texts: list[bytes] | list[str], size: int = 2_000_000) -> list[tuple[int, int]]:
+def in_chunks(texts: list[bytes] | list[str], size: int = 500_000) -> list[tuple[int, int]]:
     """Ranges of the list with about ``size`` bytes or characters each, a longer text alone in its own."""
     out, start, held = [], 0, 0
     for i, x in enumerate(texts):
