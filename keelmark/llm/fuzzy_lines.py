@@ -44,16 +44,15 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip([0, *ends], ends)]
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """[line, band]: hashes of the bands of one-permutation MinHash signatures.
+def bands_of(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, band_rows: int = BAND_ROWS) -> np.ndarray:
+    """[line, band]: hashes of the bands of one-permutation MinHash signatures, from what ``shingle_hashes`` gives.
 
     Each shingle's hash falls into one bin, whose least hash counts. An empty bin borrows from the first filled one of its own
     random order, which leaves equal lines equal and the chance of agreement the Jaccard similarity.
     """
-    hashes, counts = shingle_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), counts)
+    line = np.repeat(np.arange(len(counts)), counts)
     bins = ((hashes >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
-    table = np.full(len(lines) * _BINS, _EMPTY, dtype=np.uint64)
+    table = np.full(len(counts) * _BINS, _EMPTY, dtype=np.uint64)
     np.minimum.at(table, line * _BINS + bins.astype(np.int64), mixed(hashes) >> np.uint64(1))
     table = table.reshape(-1, _BINS)
     filled = table.copy()
@@ -65,15 +64,20 @@ def band_hashes(lines: list[str]) -> np.ndarray:
         got = value != _EMPTY
         filled[row[got], column[got]] = value[got]
         row, column = row[~got], column[~got]
-    out = np.empty((len(lines), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        held = np.full(len(lines), band + 1, dtype=np.uint64)
-        for value in filled[:, band * BAND_ROWS:(band + 1) * BAND_ROWS].T:
+    out = np.empty((len(counts), bands), dtype=np.uint64)
+    for band in range(bands):
+        held = np.full(len(counts), band + 1, dtype=np.uint64)
+        for value in filled[:, band * band_rows:(band + 1) * band_rows].T:
             held = mixed(held * np.uint64(0x9E3779B97F4A7C15) + value)
         out[:, band] = held
     return out.view(np.int64)
 
 
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """[line, band]: the bands of every line."""
+    return bands_of(*shingle_hashes(lines))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 2000):
@@ -83,7 +87,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(uids)], names=["band", "uid"])
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(uid, first uid) for lines that share a band. Rows come ordered by both, and only a run's first line is kept."""
     band = first = None
     alone = False  # the present run has no second line yet
@@ -211,7 +215,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = spark.table(table)
     meetings = saved(
         lines.select("uid", "line").mapInArrow(tidy(_bands), "band long, uid long")
-        .repartition("band").sortWithinPartitions("band", "uid").mapInArrow(_meeting, "uid long, rep long").distinct(),
+        .repartition("band").sortWithinPartitions("band", "uid").mapInArrow(meeting, "uid long, rep long").distinct(),
         "meetings",
     )
     large = saved(meetings.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-groups")
