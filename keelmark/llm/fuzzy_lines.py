@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.llm.components import connected_components
@@ -20,6 +20,8 @@ SIMILARITY, SHINGLE = 0.8, 8
 BANDS, BAND_ROWS = 12, 4
 #: The most lines of a candidate group that are compared together.
 BLOCK = 1000
+#: A line with more copies than this, and than one in ``SHARES`` of all lines, is joined with its places in shares.
+COPIES, SHARES = 1000, 10_000
 ASCII_SPACES = " \t\n\r\x0b\x0c"
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -184,10 +186,10 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no from 0, line) of all lines that hold more than ASCII spaces, without those at their ends."""
+def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id, ``more``, line_no from 0, line) of all lines that hold more than ASCII spaces, without those at their ends."""
     return docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line")
+        F.col(f"`{id_col}`").alias("doc_id"), *more, F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line")
     ).withColumn("line", F.btrim("line", F.lit(ASCII_SPACES))).where("line <> ''")
 
 
@@ -202,10 +204,18 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group, not in twelve; a group of more than ``BLOCK`` lines is cut into blocks, of which each pair is a group of its own. Distinct lines are
     written once, bucketed as they lie, and read there by later steps: only lines with candidates travel again.
     """
-    spark = docs.sparkSession
+    return _decided(text_lines(docs, id_col, text_col)).select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "copies",
+        F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), (F.col("first") == F.col("keep")).alias("kept"),
+    )
+
+
+def _decided(found: DataFrame, *keys: Column) -> DataFrame:
+    """(``keys``, first, copies, keep) of every distinct line. ``found`` has doc_id, line_no, line, and row if rows share ids."""
+    spark = found.sparkSession
     prepare(spark)
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")
-    distinct = text_lines(docs, id_col, text_col).groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), *[c for c in ("doc_id", "line_no", "row") if c in found.columns])
+    distinct = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     table = f"keelmark_lines_{uuid.uuid4().hex}"
     (
         distinct.withColumn("uid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("uid", 33).cast("int"))
@@ -233,11 +243,64 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_comparing), "a long, b long")
     )
     components = connected_components(edges)
-    placed = lines.select("uid", "first", "copies").join(components.withColumnRenamed("node", "uid"), "uid", "left").select(
-        F.coalesce("component", "uid").alias("component"), "first", "copies"
-    )
+    placed = lines.select("uid", *keys, "first", "copies").join(components.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+        "component", F.coalesce("component", "uid")
+    ).drop("uid")
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    return placed.join(kept, "component").select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "copies",
-        F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), (F.col("first") == F.col("keep")).alias("kept"),
+    return placed.join(kept, "component").drop("component")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no, keep, kept) of every line of ``rows`` (doc_id, text, row; written, and row is unique).
+
+    A line is known by 128 bits of hashes, which alone are joined with the decisions on distinct lines. Very common lines, fewer than ``SHARES``, are
+    broadcast; their places are dealt into shares, each of which gets the decision.
+    """
+    found = text_lines(rows, "doc_id", "text", "row")
+    keys = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g")]
+    decided = saved(_decided(found, *keys), "decided-lines")
+    most = max(COPIES, -(-(decided.agg(F.sum("copies")).first()[0] or 0) // SHARES))
+    common = F.broadcast(decided.where(F.col("copies") > most).select("h", "g", F.ceil(F.col("copies") / most).cast("int").alias("shares")))
+    shares = F.coalesce("shares", F.lit(1))
+    places = found.select(*keys, "doc_id", "row", "line_no").join(common, ["h", "g"], "left").withColumn(
+        "share", F.pmod(F.xxhash64("row", "line_no"), shares).cast("int")
+    ).drop("shares")
+    decisions = decided.join(common, ["h", "g"], "left").select("h", "g", "keep", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    kept = (F.col("row") == F.col("keep.row")) & (F.col("line_no") == F.col("keep.line_no"))
+    return places.join(decisions, ["h", "g", "share"]).select("doc_id", "row", "line_no", "keep", kept.alias("kept"))
+
+
+def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line of every text, repeats included: doc_id, line_no, keep_doc_id, keep_line_no, kept.
+
+    Lines and groups are those of ``fuzzy_lines``; of each group one place is kept, also where rows share an id or have none.
+    """
+    rows = saved(docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
+    ), "line-texts")
+    return _places(rows).select(
+        "doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "kept"
+    )
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            if gone:
+                gone = set(gone)
+                text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "text"])
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines that ``line_places`` does not keep taken out of the texts; blank lines and all rows stay."""
+    rows = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "line-texts")
+    text = F.col(f"doc.`{text_col}`").cast("string").alias("text")
+    gone = _places(rows.select(F.col(f"doc.`{id_col}`").alias("doc_id"), text, "row")).where(~F.col("kept")).groupBy("row").agg(
+        F.collect_list("line_no").alias("gone")
     )
+    kind = rows.schema["doc"].dataType.simpleString()
+    left = rows.join(gone, "row", "left").select("doc", text, "gone").mapInArrow(tidy(_without), f"doc {kind}, text string")
+    return left.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from keelmark.llm import language, quality
 from keelmark.llm.bpe import round_trip_digests
 from keelmark.llm.chat import conversation_digests, format_conversations
 from keelmark.llm.exact_dedup import exact_duplicates
-from keelmark.llm.fuzzy_lines import fuzzy_lines
+from keelmark.llm.fuzzy_lines import fuzzy_lines, line_places
 from keelmark.llm.maxscore import quantised, search_top
 from keelmark.llm.packing import pack_documents
 from keelmark.llm.passages import remove_repeats
@@ -54,6 +54,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_line_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_places(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 #: A conversation whose texts hold marks of common templates.
 FORGED = r"\### Assistant: </turn> ok"
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_places": op6_line_places,
     "op7_chat_format": op7_chat_format,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
