@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelmark.llm import language, quality
@@ -13,8 +13,11 @@ from keelmark.llm.fuzzy_lines import fuzzy_lines, line_places
 from keelmark.llm.maxscore import quantised, search_top
 from keelmark.llm.packing import pack_documents
 from keelmark.llm.passages import remove_repeats
+from keelmark.llm.periodic import periodic_runs
+from keelmark.llm.repetition import repeats_little, repetition
 from keelmark.llm.runtime import documents
 from keelmark.llm.simhash import near_duplicates
+from keelmark.llm.variants import letter_runs, lower_ascii, spelling_variants
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +87,58 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = repetition(documents(spark, sf_dir).select("doc_id", "text"))
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return measured.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & repeats_little()).alias("kept"),
+    )
+
+
+def slipped(run: Column, doc_id: Column) -> Column:
+    """A run of letters in lower case, without one of its letters where the hash of id and run says so. A null id is empty text."""
+    lower = lower_ascii(run)
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), lower))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(lower.substr(F.lit(1), at), lower.substr(at + 2, F.length(run)))).otherwise(lower)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A shorter run cannot become a word of six letters.
+    runs = letter_runs(documents(spark, sf_dir).select("doc_id", "text"), least=6)
+    return spelling_variants(runs.select(slipped(F.col("run"), F.col("doc_id")).alias("word")), least_length=6, least_count=5)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One text in ten, as a hash of its id says, continues from some word on with the words from there repeated."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.withColumn("_n", F.size("_words").cast("long")).withColumn("_g", F.floor(h / 10))
+    docs = docs.withColumn("_a", F.try_mod(F.col("_g"), F.col("_n")))
+    docs = docs.withColumn("_p", F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)))
+    a = F.col("_a")
+    words = F.transform("_words", lambda w, i: F.when(i < a, w).otherwise(F.get("_words", (a + F.pmod(i - a, F.col("_p"))).cast("int"))))
+    changed = F.when(F.col("_n") > 0, F.array_join(words, " "))
+    return docs.withColumn("text", F.coalesce(changed, "text")).drop("_words", "_n", "_g", "_a", "_p")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
+    kind = "struct<start: bigint, length: bigint, period: bigint>"
+    steepest = F.aggregate(
+        "runs", F.lit(None).cast(kind),
+        lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), steepest.alias("best"),
+                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,4 +151,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_repetition": op11_repetition,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }

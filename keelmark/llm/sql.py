@@ -44,8 +44,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_LENGTHS = [3, 5, 6, 7, 8, 9, 10]
+_LIMITS = {"line_chars": 20, 5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), base AS (
+  SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum([length(w) for w in words]), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM t
+), lines AS (
+  SELECT doc_id, line, count(*) AS n, any_value(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL
+), repeated AS (
+  SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, sum((n - 1) * chars) AS line_chars FROM lines GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, n, i, words[i:i + n - 1] AS w FROM (
+    SELECT doc_id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM t, (SELECT unnest([""" + ", ".join(map(str, _LENGTHS)) + r"""]) AS n) WHERE len(words) >= n
+  )
+), ranked AS (
+  SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, n, w ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, n, w) AS times FROM windows
+), covered AS (
+  SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS place FROM ranked WHERE k > 1 OR (n = 3 AND times > 1)
+), chars AS (
+  SELECT c.doc_id, c.n, count(*) AS places, sum(length(t.words[c.place])) AS chars FROM covered c JOIN t USING (doc_id) GROUP BY ALL
+), shares AS (
+  SELECT doc_id, """ + ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN chars END), 0) AS c{n}" for n in _LENGTHS) + r""",
+    coalesce(max(CASE WHEN n = 3 THEN places END), 0) AS n_repeat_words FROM chars GROUP BY doc_id
+), measured AS (
+  SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(line_chars, 0) AS line_chars, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    """ + ", ".join(f"coalesce(c{n}, 0) AS c{n}" for n in _LENGTHS[1:]) + r"""
+  FROM base b LEFT JOIN repeated r USING (doc_id) LEFT JOIN shares s USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
+  """ + " ".join(f"AND 100 * {c if isinstance(c, str) else f'c{c}'} <= {limit} * word_chars" for c, limit in _LIMITS.items()) + r""" AS kept
+FROM judged
+"""
+
 ORACLE_SQL = {
     "op2_exact_dedup": OP2,
     "op3_topk_search": OP3,
     "op7_chat_format": OP7,
+    "op11_repetition": OP11,
 }
