@@ -58,20 +58,29 @@ def categorical_summary(df: DataFrame, columns: list[str] = TEXT_COLUMNS, top: i
 def numeric_summary(
     df: DataFrame, columns: list[str] = NUMERIC_COLUMNS, digits: int = 3, exact: bool = True,
 ) -> DataFrame:
-    """Count, mean, spread, quartiles and skewness, one row per column."""
-    def number(c: str) -> Column:
-        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-
-    moments = rows_per_column(df, columns, {
-        "count": lambda c: F.count(number(c)),
-        "mean": lambda c: F.avg(number(c)),
-        "std": lambda c: F.stddev_samp(number(c)),
-        "min": lambda c: F.min(number(c)),
-        "max": lambda c: F.max(number(c)),
-        "skew": lambda c: adjusted_skewness(number(c)),
-    })
-    quartiles = column_quantiles(df, columns, QUARTILES, exact)
+    """Count, mean, spread, quartiles and skewness, one row per column.
+
+    Exact quartiles and the moments come from one written table of (column, value), so ``df`` is made once.
+    """
+    measures = {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": adjusted_skewness,
+    }
     names = ["mean", "std", "min", "q25", "q50", "q75", "max", "skew"]
+    if exact:
+        values = value_rows(long_values(df, columns), ["column"], "value")
+        found = values.groupBy("column").agg(*[make("_value").alias(name) for name, make in measures.items()])
+        places = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column")) for i, c in enumerate(columns)]
+        moments = (
+            df.sparkSession.range(1).select(F.inline(F.array(*places)))
+            .join(F.broadcast(found), "column", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+        )
+        quartiles = quantiles_of_rows(values, ["column"], QUARTILES, fixed_keys=True)
+    else:
+        moments = rows_per_column(df, columns, {
+            name: lambda c, make=make: make(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")))
+            for name, make in measures.items()
+        })
+        quartiles = column_quantiles(df, columns, QUARTILES, exact=False)
     return (
         moments.join(F.broadcast(quartiles), "column", "left")
         .select("position", "column", "count", *[rounded(n, digits).alias(n) for n in names])

@@ -198,14 +198,18 @@ def _regression(df: DataFrame) -> tuple[md.FittedModel, DataFrame]:
 
 def _regression_rows(df: DataFrame) -> DataFrame:
     _, rows = _regression(df)
-    target, prediction = F.col("log_shore_distance"), F.col("prediction")
-    better = _better(rows, F.pow(prediction - target, 2), F.var_pop(target))
+    prediction = F.col("prediction")
     return rows.select(
         ID, rounded("log_shore_distance", 6).alias("log_shore_distance"),
-        (~F.isnan(prediction) & (F.abs(prediction) < 1e3)).alias("finite"), better.alias("better_than_constant"),
+        (~F.isnan(prediction) & (F.abs(prediction) < 1e3)).alias("finite"), _better_regression(rows),
     )
 
 
+def _better_regression(rows: DataFrame) -> Column:
+    target = F.col("log_shore_distance")
+    return _better(rows, F.pow(F.col("prediction") - target, 2), F.var_pop(target)).alias("better_than_constant")
+
+
 def _final_fit(df: DataFrame) -> DataFrame:
     _, rows = _regression(df)
     checked = ev.residuals(rows, "log_shore_distance", "prediction")
@@ -214,16 +218,17 @@ def _final_fit(df: DataFrame) -> DataFrame:
     return checked.select(
         ID, rounded("log_shore_distance", 6).alias("log_shore_distance"),
         (F.col("abs_residual") == F.abs(F.col("log_shore_distance") - F.col("prediction"))).alias("residual_fits"),
-        inside.alias("in_joint_range"),
+        inside.alias("in_joint_range"), _better_regression(rows),
     )
 
 
 def _importances(df: DataFrame) -> DataFrame:
     fitted = md.fit_regression(df)
     found = md.feature_importances(df.sparkSession, fitted)
-    return found.select(
+    return found.join(md.split_counts(df.sparkSession, fitted), "feature").select(
         "feature", (F.col("importance").between(0, 1)).alias("is_share"),
         rounded(found.agg(F.sum("importance").alias("s")).scalar(), 6).alias("total"),
+        ((F.col("importance") > 0) == (F.col("splits") > 0)).alias("follows_splits"),
     )
 
 
@@ -249,11 +254,19 @@ def _in_bounds(pct: Column) -> Column:
     return (pct.between(0, 100) & (rounded(pct, 2) == pct)).alias("pct_in_bounds")
 
 
+def _better_scores(rows: DataFrame) -> Column:
+    """Whether the written percentages tell the classes apart better than their base rate does."""
+    label = F.col("attack_occurred").cast("double")
+    return _better(rows, F.pow(F.col("attack_probability_pct") / 100 - label, 2), F.var_pop(label)).alias("better_than_constant")
+
+
 def _scores(df: DataFrame) -> DataFrame:
-    scores = md.score(df, md.fit_classification(df))
+    path = new_folder(df.sparkSession, "score-rows")
+    md.score(df, md.fit_classification(df)).select(ID, "attack_occurred", "attack_probability_pct", "risk_band").write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     pct = F.col("attack_probability_pct")
-    return scores.select(
-        ID, "attack_occurred", _in_bounds(pct), (F.col("risk_band") == risk_band(pct)).alias("band_follows")
+    return rows.select(
+        ID, "attack_occurred", _in_bounds(pct), (F.col("risk_band") == risk_band(pct)).alias("band_follows"), _better_scores(rows),
     )
 
 
@@ -267,7 +280,7 @@ def _enriched(df: DataFrame) -> DataFrame:
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PREMIUM_COLUMNS])
     return rows.join(again, ID).select(
         ID, *INCIDENT_COLUMNS, "attack_occurred", _in_bounds(pct), (F.col("risk_band") == risk_band(pct)).alias("band_follows"),
-        same.alias("premiums_follow"),
+        same.alias("premiums_follow"), _better_scores(rows),
     )
 
 

@@ -319,7 +319,7 @@ def _feature_names() -> str:
         f"SELECT DISTINCT 'cat__{c}_' || {c} AS feature FROM features WHERE {c} <> (SELECT min({c}) FROM features)"
         for c in ("region", "country_grouped")
     ])
-    return f"SELECT feature, TRUE AS is_share, 1e0 AS total FROM ({_union([numeric, encoded])}) names"
+    return f"SELECT feature, TRUE AS is_share, 1e0 AS total, TRUE AS follows_splits FROM ({_union([numeric, encoded])}) names"
 
 
 def _report() -> str:
@@ -538,14 +538,16 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT incident_id, attack_occurred, TRUE AS is_probability, TRUE AS prediction_fits, TRUE AS better_than_constant FROM features"
     ),
     "m9_final_fit": featured(
-        "SELECT incident_id, rint(log_shore_distance, 6) AS log_shore_distance, TRUE AS residual_fits, TRUE AS in_joint_range FROM features"
+        "SELECT incident_id, rint(log_shore_distance, 6) AS log_shore_distance, TRUE AS residual_fits, TRUE AS in_joint_range, TRUE AS better_than_constant FROM features"
     ),
     "m10_feature_importances": featured(_feature_names()),
     "m12_cross_validation": featured(_fold_checks(), FOLDED.format(table="features")),
-    "m16_score_rows": featured("SELECT incident_id, attack_occurred, TRUE AS pct_in_bounds, TRUE AS band_follows FROM features"),
+    "m16_score_rows": featured(
+        "SELECT incident_id, attack_occurred, TRUE AS pct_in_bounds, TRUE AS band_follows, TRUE AS better_than_constant FROM features"
+    ),
     "m18_enrich": scored(
         "SELECT incident_id, year, month, longitude, latitude, attack_type, vessel_status, shore_distance, nearest_country, region, "
-        "attack_occurred, TRUE AS pct_in_bounds, TRUE AS band_follows, TRUE AS premiums_follow FROM scored"
+        "attack_occurred, TRUE AS pct_in_bounds, TRUE AS band_follows, TRUE AS premiums_follow, TRUE AS better_than_constant FROM scored"
     ),
     "m11_stratified_folds": _with(
         "SELECT incident_id, attack_occurred, fold FROM folded", INCIDENTS, SCORED, FOLDED.format(table="scored")

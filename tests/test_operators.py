@@ -16,7 +16,9 @@ from keelmark.operators import premium as pr
 from keelmark.operators import profiling as pf
 from keelmark.operators import sampling as sm
 from keelmark.operators.folds import hashed_folds, stratified_folds
-from keelmark.operators.quantiles import column_quantiles, exact_quantiles, with_order_key
+from keelmark.operators.quantiles import (
+    column_quantiles, exact_quantiles, quantiles_of_rows, value_rows, with_order_key,
+)
 from keelmark.schema import INCIDENT_SCHEMA, QUOTE_SCHEMA, RAW_SCHEMA
 
 GOOD = ("2001", "5", "10.5", "-3.25", "Boarded", "Anchored", "12.5", "AAA", "South Asia")
@@ -88,7 +90,9 @@ def test_exact_quantiles_match_numpy(spark):
             assert got == pytest.approx(list(np.quantile(xs, list(probabilities.values()))), rel=1e-12), k
 
 
-def test_quantiles_of_many_keys_are_shuffled(spark):
+def test_quantiles_of_many_keys_are_shuffled(spark, monkeypatch):
+    from keelmark.operators import quantiles as q
+    monkeypatch.setattr(q, "BROADCAST_INTERVALS", 599)
     df = spark.range(6000).select((F.col("id") % 300).alias("k"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
@@ -99,6 +103,12 @@ def test_quantiles_of_many_keys_are_shuffled(spark):
     assert out == {k: np.median([i * 7 % 1000 for i in range(k, 6000, 300)]) for k in range(300)}
 
 
+def test_weighted_quantiles(spark):
+    rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", 5.0, 4), ("a", None, 9), ("b", 7.0, 1), (None, 1.0, 1)]
+    found = quantiles_of_rows(value_rows(spark.createDataFrame(rows, "k string, x double, _n long"), ["k"], "x", weight="_n"), ["k"], {"m": 0.5, "q": 0.25})
+    assert sorted(tuple(r) for r in found.select("k", "m", "q").collect()) == [("a", 3.5, 1.0), ("b", 7.0, 7.0)]
+
+
 def test_order_keys_follow_the_bits_of_doubles(spark):
     rng = np.random.default_rng(0)
     values = rng.integers(-2 ** 63, 2 ** 63 - 1, 5000, dtype=np.int64).view(np.float64)

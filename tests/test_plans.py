@@ -83,10 +83,16 @@ def test_only_small_tables_are_broadcast(scored):
     assert text.count("BroadcastHashJoin") == 1 and "TakeOrderedAndProject" in text
 
 
-def test_repeated_values_are_counted_once_for_all_quantile_steps(scored):
-    text = final_plan(an.rate_by_band(pr.append_premiums(scored)))
-    assert text.count("ReusedExchange") >= 3
-    assert text.count("FileScan") == 1
+@pytest.mark.parametrize("make", [
+    lambda df: an.rate_by_band(pr.append_premiums(df)), an.distance_by_region, an.median_probability,
+    lambda df: pf.outliers_iqr(df, ["latitude", "shore_distance"]), lambda df: pf.numeric_summary(df, ["latitude", "shore_distance"]),
+])
+def test_quantile_rounds_read_the_written_order_keys(scored, make):
+    text = plan(make(scored))
+    assert "log2" not in text.lower() and "pow(" not in text.lower()
+    scans = [line for line in text.split("\n") if "FileScan" in line]
+    assert sum("order-keys" in line and "_key" in line for line in scans) == 4
+    assert sum("order-keys" not in line for line in scans) <= 1
 
 
 def test_quantiles_shuffle_histograms_only(spark, scored):
@@ -104,16 +110,6 @@ def test_quantiles_shuffle_histograms_only(spark, scored):
             assert any(k in below for k in ("HashAggregate", "SortAggregate", "Window", "Filter")), below
 
 
-def test_quantiles_of_free_keys_run_no_job_when_built(spark, scored):
-    tracker, group = spark.sparkContext.statusTracker(), "built-only"
-    spark.sparkContext.setJobGroup(group, "")
-    try:
-        an.distance_by_region(scored)
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert not list(tracker.getJobIdsForGroup(group))
-
-
 def test_first_rows_keep_the_partitions_of_the_scan(spark):
     many = spark.range(40_000, numPartitions=9000).select(
         F.col("id").alias("incident_id"), *[F.lit(0).alias(c) for c in RECORD_COLUMNS]
