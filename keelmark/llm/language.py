@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +15,11 @@ from keelmark.llm.runtime import hashed_mod, prepare, tidy
 from keelmark.llm.sampling import sample_texts
 
 UNKNOWN = "und"
-#: The fit: at most so many rows of at most so many bytes a language, until they hold so many bytes.
-SAMPLE_ROWS, ROW_BYTES, SAMPLE_BYTES = 64, 4_000, 24_000
+#: The fit: at most so many rows a language, a stretch of so many characters of a longer one, until they hold so many bytes.
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_BYTES = 64, 4_000, 24_000
 #: Texts are parsed in pieces of so many bytes, many pieces at a time.
 PIECE, TOGETHER = 512, 1_000_000
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters_only(text: str | None) -> bytes:
@@ -119,14 +119,14 @@ class CrossParser:
 def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> CrossParser:
     """A parser from a bounded sample of the rows with a language and letters.
 
-    Of each language the distinct texts of at most ``ROW_BYTES`` bytes with the smallest
-    hashes are taken, ``SAMPLE_ROWS`` at most, until they hold ``SAMPLE_BYTES``. Only these few reach the driver.
+    Of each language the distinct texts with the smallest hashes are taken, ``SAMPLE_ROWS`` at most, until they hold
+    ``SAMPLE_BYTES``; of a text of more than ``ROW_CHARS`` characters a stretch of that length, placed by its hash. Only these few reach the driver.
     """
     rows = labelled.select(F.col(lang_col).alias("label"), F.col(text_col).alias("text")).where(
-        F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= ROW_BYTES)
+        F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")
     ).withColumn("h", F.xxhash64("text"))
     samples: dict[str, bytes] = {}
-    for language, texts in sample_texts(rows, rows, SAMPLE_ROWS, ROW_BYTES).items():
+    for language, texts in sample_texts(rows, rows, SAMPLE_ROWS, ROW_CHARS).items():
         held = b""
         for text in texts:
             if len(held) < SAMPLE_BYTES:

@@ -12,15 +12,16 @@ from keelmark.llm.runtime import prepare
 TOP, SCALE = 10, 1024.0
 #: Vectors of a shard, queries of a block, and vectors between two updates of the bounds.
 SHARD, QUERIES, STEP = 4096, 512, 512
-#: Larger components could overflow a 64-bit score.
-LARGEST = float(1 << 26)
 
 
 def quantised(vector: Column) -> Column:
-    """floor(1024 * x) of every component; null for vectors that are null, or hold null, non-finite or
-    huge components (2**26 or more after scaling, whose scores would not fit)."""
-    scaled = F.transform(vector, lambda x: x.cast("double") * SCALE)
-    fine = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
+    """floor(1024 * x) of every component; null for vectors that are null, or hold null or non-finite components.
+
+    What lies beyond 64 bits becomes the largest or smallest long, which ``search_top`` refuses.
+    """
+    numbers = F.transform(vector, lambda x: x.cast("double"))
+    scaled = F.transform(numbers, lambda x: x * SCALE)
+    fine = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.when(fine, F.transform(scaled, lambda x: F.floor(x).cast("long")))
 
 
@@ -80,9 +81,9 @@ class Postings:
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    sizes = pa.compute.list_value_length(column).to_numpy()
     out = np.zeros((len(column), dims), dtype=np.int64)
-    for i, x in enumerate(column.to_pylist()):
-        out[i, :len(x)] = x
+    out[np.arange(dims) < sizes[:, None]] = pa.compute.list_flatten(column).to_numpy()
     return out
 
 
@@ -111,7 +112,8 @@ def search_top(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
 
     Both tables have vec_id and vector (array of long, as ``quantised`` makes it; null vectors and null ids take no part). A query's own
     id is no candidate for it. Vectors of different lengths count as padded with zeros. If a query id comes
-    repeatedly, its smallest vector is asked; repeated candidate rows all count.
+    repeatedly, its smallest vector is asked; repeated candidate rows all count. Empty tables give an empty one, other columns are ignored. Components so large that
+    a score could leave 64 bits are refused with a ValueError: no vector is left out.
 
     Vectors are dealt into shards of about ``SHARD`` rows and queries into blocks of about ``QUERIES``; each shard meets each block in
     a task of its own, where MaxScore finds the shard's best. Shards' winners, ``top`` a query at most, are merged by a
@@ -123,6 +125,11 @@ def search_top(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     queries = queries.where("vec_id IS NOT NULL AND vector IS NOT NULL").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
         F.min("vector").alias("vector")
     )
+    # Sums over all dimensions of a product of two components, or of one and a spread of twice the largest, must fit into 64 bits.
+    sizes = vectors.union(queries).agg(F.max(F.size("vector")), F.max(F.array_max("vector")), F.min(F.array_min("vector"))).first()
+    dims, largest = sizes[0] or 0, max(abs(sizes[1] or 0), abs(sizes[2] or 0))
+    if 2 * dims * largest ** 2 >= 1 << 62:
+        raise ValueError(f"scores of {dims} components up to {largest} do not fit into 64 bits")
     shards, blocks = -(-vectors.count() // SHARD) or 1, -(-queries.count() // QUERIES) or 1
 
     def every(n: int) -> Column:

@@ -18,6 +18,7 @@ WINDOW = 4096
 END_ID = 2
 #: Pieces that are packed together: about so many per group.
 GROUP_PIECES = 20_000
+GROUP = "_packed_together"
 
 
 def _tokenizing(path: str, end_id: int):
@@ -118,7 +119,7 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 def _pack_group(key: tuple, pieces: pa.Table) -> pa.Table:
     number, offset = best_fit(pieces.column("length").to_numpy())
     first = key[0].as_py() << 32
-    return pieces.drop_columns(["group"]).append_column("sequence_id", pa.array(number + first)).append_column(
+    return pieces.drop_columns([GROUP]).append_column("sequence_id", pa.array(number + first)).append_column(
         "offset", pa.array(offset)
     )
 
@@ -135,16 +136,18 @@ def cut_documents(tokens: DataFrame) -> DataFrame:
 def pack(pieces: DataFrame) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    ``pieces`` has doc_id, start and length (1 to 4096); other columns are carried along. Pieces are dealt by a hash into groups of about
-    ``GROUP_PIECES``, however the keys are spread, and each group is packed by itself: longest pieces first, ties in
+    ``pieces`` is a written table with length (1 to 4096); other columns are carried along, whatever their names and nulls, but for sequence_id and
+    offset, which are replaced. Pieces are dealt by a hash of their place in the table into groups of about
+    ``GROUP_PIECES``, also if ids are null or repeated, and each group is packed by itself: longest pieces first, ties in
     any order, each into the open window with the least sufficient room. A group leaves about one
     window unfilled. Offsets are gapless from 0. An empty table gives an empty one.
     """
     prepare(pieces.sparkSession)
+    pieces = pieces.drop("sequence_id", "offset")
     groups = -(-pieces.count() // GROUP_PIECES) or 1
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn(GROUP, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("group").applyInArrow(_pack_group, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy(GROUP).applyInArrow(_pack_group, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,10 +17,14 @@ from keelmark.session import new_folder
 
 #: Words of a window, and of the stretch inside it that names it.
 WINDOW, ANCHOR = 50, 8
-#: Bytes of text in a shard, and the most files that the shards are dealt to.
-SHARD_BYTES, FILES = 3_000_000, 20_000
+#: Bytes of text in a shard, and in a file of many shards.
+SHARD_BYTES, FILE_BYTES = 3_000_000, 256_000_000
+#: Files of one shard each, while there are no more of them.
+SMALL_FILES = 20_000
 LAST_ID = (1 << 63) - 1
 _PLACE_BITS = 26
+#: Distinct words of an automaton, which are characters to it, and words of a phrase in it.
+SYMBOLS, PHRASE_WORDS = 1_000_000, 200_000
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,8 +51,13 @@ def segments(words: Words) -> dict[str, np.ndarray]:
     rolling = Rolling(words.hashes())
     at = np.arange(n - ANCHOR + 1)
     anchors = rolling.of(at, at + ANCHOR)
-    ranked = (anchors >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | at.astype(np.uint64)
-    chosen = (sliding_minimum(ranked, WINDOW - ANCHOR + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    bits, width, block = np.uint64(_PLACE_BITS), WINDOW - ANCHOR + 1, 1 << (_PLACE_BITS - 1)
+    chosen = []
+    for a in range(0, n - WINDOW + 1, block):  # places are counted within a block, so that they fit their bits in the longest text
+        part = anchors[a:a + block + width - 1]
+        least = sliding_minimum(part >> bits << bits | np.arange(len(part), dtype=np.uint64), width)
+        chosen.append((least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) + a)
+    chosen = np.concatenate(chosen)
     inside = words.text[:n - WINDOW + 1] == words.text[WINDOW - 1:]
     new = np.ones(len(chosen), dtype=bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | ~inside[:-1]
@@ -158,13 +167,13 @@ def _phrases(docs: pa.Table, wanted: pa.Table) -> pa.Table:
 class Automaton:
     """Aho-Corasick over words: each distinct word of the phrases is one character."""
 
-    def __init__(self, phrases: list[bytes], firsts: list[int]):
+    def __init__(self, phrases: list[list[bytes]], firsts: list[int]):
         import ahocorasick
 
         self.symbols: dict[bytes, str] = {}
         lowest: dict[str, int] = {}
         for phrase, first in zip(phrases, firsts):
-            key = "".join([self._symbol(w) for w in phrase.split()])
+            key = "".join([self._symbol(w) for w in phrase])
             lowest[key] = min(first, lowest.get(key, first))
         self.found = ahocorasick.Automaton()
         for key, first in lowest.items():
@@ -196,14 +205,41 @@ class Automaton:
         return None if edges is None else np.cumsum(edges[:-1]) > 0
 
 
+def automata(phrases: list[bytes], firsts: list[int]) -> list[Automaton]:
+    """One automaton, or several where the phrases have more than ``SYMBOLS`` distinct words.
+
+    A longer phrase than ``PHRASE_WORDS`` is cut into stretches that overlap in all but one word of a window, so each of its windows lies in one.
+    """
+    out, waiting, held = [], ([], []), set()
+    for phrase, first in zip(phrases, firsts):
+        words = phrase.split()
+        for a in range(0, max(1, len(words) - WINDOW + 1), PHRASE_WORDS):
+            part = words[a:a + PHRASE_WORDS + WINDOW - 1]
+            new = held.union(part) if len(held) + len(part) > SYMBOLS else None
+            if new and len(new) > SYMBOLS:
+                out.append(Automaton(*waiting))
+                waiting, held = ([], []), set()
+            held.update(part)
+            waiting[0].append(part)
+            waiting[1].append(first)
+    if waiting[0]:
+        out.append(Automaton(*waiting))
+    return out
+
+
+def _covered(found: list[Automaton], words: list[bytes], id_: int) -> np.ndarray | None:
+    parts = [c for c in (a.covered(words, id_) for a in found) if c is not None]
+    return np.logical_or.reduce(parts) if parts else None
+
+
 def _streaming(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """All documents of a shard through the automaton of the passages that it needs."""
     give_back()
-    automaton = Automaton(phrases.column("phrase").to_pylist(), phrases.column("first").to_pylist())
+    found = automata(phrases.column("phrase").to_pylist(), phrases.column("first").to_pylist())
     counts, removed, kept_texts, digests = [], [], [], []
     for id_, text in zip(docs.column("id").to_pylist(), docs.column("text").cast(pa.binary())):
         words = (text.as_py() or b"").split()
-        covered = automaton.covered(words, id_)
+        covered = _covered(found, words, id_)
         kept = words if covered is None else [w for w, c in zip(words, covered.tolist()) if not c]
         body = b" ".join(kept)
         counts.append(len(words))
@@ -237,13 +273,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(spark)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
-    files = min(shards, FILES)
+    files = max(min(shards, SMALL_FILES), -(-size // FILE_BYTES))
+    if files > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", files)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     table = f"keelmark_texts_{uuid.uuid4().hex}"
     (
         docs.select(
-            F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"),
-            F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(shards)).cast("int").alias("shard"), row.alias("row"),
+            F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), row.alias("row"),
+            F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         )
         .repartition(files, "shard").withColumn("uid", F.monotonically_increasing_id())
         .write.option("path", new_folder(spark, "texts")).option("compression", "zstd")
@@ -262,12 +300,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "segments",
     )
     first = F.min(F.struct("id", "uid", "shard", "start", "size")).alias("first")
-    classes = saved(found.groupBy("anchor", "body").agg(first, F.max("id").alias("last")), "classes")
+    classes = saved(found.groupBy("anchor", "body").agg(
+        first, F.max("id").alias("last"), (F.min("uid") < F.max("uid")).alias("shared")
+    ), "classes")
     several = saved(classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
-    whole = classes.where("last > first.id").select("anchor", "body", "first")
+    members = saved(
+        found.join(classes.where("shared").select("anchor", "body", "first"), ["anchor", "body"])
+        .where("id > first.id OR id = first.id AND uid <> first.uid")
+        .select(F.col("shard").alias("to"), (F.col("id") > F.col("first.id")).alias("later"), "first").distinct(),
+        "members",
+    )
     by_segment = (
-        found.join(whole, ["anchor", "body"]).where("id > first.id")
-        .select(F.col("shard").alias("to"), "first.*").distinct()
+        members.where("later").select("to", "first.*")
         .withColumn("shift", F.lit(None).cast("long")).withColumn("other", F.lit(None).cast("long"))
     )
     unlike = classes.join(several, "anchor", "left_semi").select("first.*")
@@ -283,7 +327,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("shard").alias("to"), "first.*", F.lit(WINDOW).alias("size"),
         (F.col("start") - F.col("first.start")).cast("long").alias("shift"), F.col("uid").alias("other"),
     )
-    wanted = by_segment.unionByName(by_window)
+    # Rows that share the representative's id and segment are sent what it is sent.
+    twins = members.where("NOT later").select(F.col("to").alias("also"), F.col("first.uid").alias("other")).distinct()
+    for_twins = by_window.join(twins, "other").withColumn("to", F.col("also")).drop("also")
+    wanted = by_segment.unionByName(by_window).unionByName(for_twins)
     phrases = texts.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(
         _phrases, "to int, first long, phrase binary"
     )

@@ -14,7 +14,7 @@ from keelmark.llm.runtime import hashed_mod, prepare, tidy
 from keelmark.llm.sampling import sample_texts
 
 #: The fit: at most so many texts of at most so many bytes for each label, half for the dictionaries, half for calibration.
-SAMPLE_ROWS, ROW_BYTES = 4_000, 16_000
+SAMPLE_ROWS, ROW_CHARS = 4_000, 16_000
 DICTIONARY_BYTES, BLOCK, LEVEL = 112_640, 512, 3
 THRESHOLD = 0.7
 
@@ -85,10 +85,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> CompressionClassifier | f
     (0.5 without any)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     labelled = (
-        texts.where(F.octet_length("text") <= ROW_BYTES).select("doc_id", "h")
+        texts.select("doc_id", "h")
         .join(labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").alias("label")), "doc_id")
     )
-    found = sample_texts(labelled, texts, SAMPLE_ROWS, ROW_BYTES)
+    found = sample_texts(labelled, texts, SAMPLE_ROWS, ROW_CHARS)
     good, bad = ([t.encode() for t in found.get(k, [])] for k in (1, 0))
     if not good or not bad:
         return 1.0 if good else 0.0 if bad else 0.5

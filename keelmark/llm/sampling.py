@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 SLICES = 64
 
 
-def sample_texts(labelled: DataFrame, texts: DataFrame, rows: int, max_bytes: int) -> dict[object, list[str]]:
-    """For each label, ``rows`` of its distinct texts at most, of ``max_bytes`` at most, in the order of their hashes.
+def sample_texts(labelled: DataFrame, texts: DataFrame, rows: int, chars: int) -> dict[object, list[str]]:
+    """For each label, ``rows`` of its distinct texts at most, in the order of their hashes.
+
+    Texts are of any length; of one of more than ``chars`` characters a stretch of that length is taken, placed by its hash.
 
     ``labelled`` has label and h, ``texts`` has text and h, the XXH64 of the text. Labels meet
     hashes only; texts are then picked by the chosen hashes. No more than labels x rows texts reach the driver.
@@ -22,7 +24,9 @@ def sample_texts(labelled: DataFrame, texts: DataFrame, rows: int, max_bytes: in
         chosen = chosen.withColumn("n", F.row_number().over(least)).where(F.col("n") <= rows)
     chosen = chosen.collect()
     hashes = sorted({r["h"] for r in chosen})
-    picked = texts.where(F.col("h").isin(hashes) & (F.octet_length("text") <= max_bytes)).groupBy("h").agg(F.min("text").alias("text"))
+    # One hash, one text; rows that share it are cut before they meet.
+    start = (F.pmod(F.col("h"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1).cast("int")
+    picked = texts.where(F.col("h").isin(hashes)).groupBy("h").agg(F.min(F.col("text").substr(start, F.lit(chars))).alias("text"))
     by_hash = {r["h"]: r["text"] for r in picked.collect()}
     out: dict[object, list[str]] = {}
     for r in sorted(chosen, key=lambda r: (str(r["label"]), r["n"])):

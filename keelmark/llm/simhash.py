@@ -153,22 +153,43 @@ def near_duplicates(
     Equal fingerprints are one node, however many rows share them, so hot groups of copies
     cost nothing beyond their scan. Fingerprints are written once; all later steps read that narrow table.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = saved(
-        docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        .mapInArrow(tidy(_fingerprints), f"id {kind}, print long"),
-        "simhash",
+    rows, labels = _components(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), distance)
+    return rows.join(labels, "print").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"),
     )
+
+
+def _components(texts: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(id, print) of every row of (id, text), written, and (print, least): the smallest id of the print's component."""
+    prepare(texts.sparkSession)
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = saved(texts.mapInArrow(tidy(_fingerprints), f"id {kind}, print long"), "simhash")
     classes = saved(rows.groupBy("print").agg(F.min("id").alias("first")), "simhash-classes")
     component = connected_components(hamming_links(classes.select("print"), distance))
     named = (
         classes.join(component.withColumnRenamed("node", "print"), "print", "left")
         .select("print", "first", F.coalesce("component", "print").alias("component"))
     )
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = named.join(lowest, "component").select("print", "component_id")
-    return rows.join(labels, "print").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id",
+    lowest = named.groupBy("component").agg(F.min("first").alias("least"))
+    return rows, named.join(lowest, "component").select("print", "least")
+
+
+def first_of_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
+) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, as ``near_duplicates`` finds these: the smallest id stays (null last), of rows
+    that share it, or have none, one.
+
+    Null and wordless texts are linked to each other. Columns may have any names; an empty table gives an empty one. Rows are written once; texts
+    are read for their fingerprints and when the rows that stay are taken. What says that a row goes is its place in the written table: where
+    these are few enough they are broadcast, so that no text moves.
+    """
+    rows = saved(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("uid", F.monotonically_increasing_id()), "texts"
     )
+    key = F.col(f"row.`{id_col}`")
+    # The row's place breaks ties of ids, and nulls come last.
+    place = F.struct(key.isNull().alias("none"), key.alias("id"), "uid")
+    prints, labels = _components(rows.select(place.alias("id"), F.col(f"row.`{text_col}`").cast("string").alias("text")), distance)
+    gone = prints.join(labels, "print").where(F.col("id.uid") != F.col("least.uid")).select("id.uid")
+    return rows.join(gone, "uid", "left_anti").select("row.*")

@@ -57,7 +57,7 @@ def test_equal_windows_have_equal_anchors():
 
 
 def test_automaton_counts_only_smaller_ids():
-    a = Automaton([b"a b c", b"b c d"], [5, 9])
+    a = Automaton([[b"a", b"b", b"c"], [b"b", b"c", b"d"]], [5, 9])
     assert a.covered(b"x a b c d".split(), 5) is None
     assert a.covered(b"x a b c d".split(), 6).tolist() == [False, True, True, True, False]
     assert a.covered(b"x a b c d".split(), 10).tolist() == [False, True, True, True, True]
