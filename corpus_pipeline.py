@@ -10,39 +10,47 @@ from pyspark.sql import functions as F
 
 from keelmark.llm.exact_dedup import exact_duplicates
 from keelmark.llm.language import UNKNOWN, fit_documents, identify_languages
-from keelmark.llm.near_texts import first_of_near
 from keelmark.llm.packing import pack_documents
 from keelmark.llm.passages import remove_repeats
 from keelmark.llm.runtime import documents, saved
+from keelmark.llm.simhash import first_of_similar
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; null and letterless texts go.
+    """Documents in which a language is recognised; null, empty and letterless texts go.
 
-    If no row has a language to learn from, every text with a letter stays.
+    If no row has a language to learn from, every text with a letter stays. Repeated rows are judged one by one; columns may have any
+    names and nulls; an empty table gives an empty one.
     """
     parser = fit_documents(docs)
     if not parser.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify_languages(docs, parser).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("others")
+    found = identify_languages(docs.select("text", others), parser).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the document with the smallest id."""
+    """Of equal texts (white space aside) the document with the smallest id, null last; of rows that share it one.
+
+    Null and empty texts are equal. An empty table gives an empty one.
+    """
     return exact_duplicates(docs).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word similarity of 0.8 or more the document with the smallest id; of rows that share it, or have none, one."""
-    return first_of_near(docs)
+    """Of texts linked by 4 or fewer differing bits of their four-word SimHash the document with the smallest id; of rows that share it, or
+    have none, one. Null, empty and wordless texts are one group."""
+    return first_of_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that earlier documents have; documents of which nothing is left go.
 
-    A text that loses words becomes the rest, joined by single spaces, and its n_chars follows; other texts stay as they are.
+    A text that loses words becomes the rest, joined by single spaces, and its n_chars follows; other texts, null and empty ones too, stay as they
+    are. Rows that share an id never take words from each other.
     """
     found = remove_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
     changed = F.col("n_removed") > 0
@@ -54,7 +62,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training windows."""
+    """Where each piece of each document lies in the training windows. Null and empty texts are their end mark; repeated rows are packed
+    each; a row's other columns do not matter."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
