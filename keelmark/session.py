@@ -25,6 +25,10 @@ def build_session(app: str = "keelmark", master: str | None = None, **conf: obje
     return builder.getOrCreate()
 
 
+#: The folder of local sessions that have no ``spark.checkpoint.dir``, once one was needed.
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -36,10 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="keelmark-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # Kept here, as a running session does not take the setting.
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="keelmark-"))
+        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
+    return _local_folder[0]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -48,6 +53,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+#: Paths that ``new_folder`` gave out in this program and ``remove_folders`` has not yet deleted.
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def remove_folders(spark: SparkSession) -> int:
+    """Delete what this program wrote to paths of ``new_folder``, wherever they are; the number of folders that were there.
+
+    Results that are computed from these folders must have been written before.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders[-1])
+        removed += path.getFileSystem(conf).delete(path, True)
+        _folders.pop()
+    return removed

@@ -156,3 +156,19 @@ def test_checkpoint_folder_is_the_sessions(spark):
     assert spark.sparkContext.getCheckpointDir()
     assert new_folder(spark, "x").startswith(shared_folder(spark))
     assert spark.range(3).agg(F.sum("id")).first()[0] == 3
+
+
+def test_written_folders_can_be_removed(spark):
+    import os
+
+    from keelmark import session
+
+    others, session._folders[:] = list(session._folders), []
+    try:
+        paths = [session.new_folder(spark, "removed") for _ in range(3)]
+        for path in paths[:2]:
+            spark.range(5).write.parquet(path)
+        assert session.remove_folders(spark) == 2
+        assert not any(os.path.exists(path) for path in paths) and not session._folders
+    finally:
+        session._folders[:] = others
