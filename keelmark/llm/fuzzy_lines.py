@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.llm.components import connected_components
-from keelmark.llm.runtime import prepare, saved, shuffle_partitions, tidy
+from keelmark.llm.runtime import bucketed, prepare, saved, shuffle_partitions, tidy
 from keelmark.llm.words import Rolling, in_chunks, mixed
-from keelmark.session import new_folder
 
 SIMILARITY, SHINGLE = 0.8, 8
 #: At similarity 0.8 a pair misses all twelve bands of four once in 550 times; more similar pairs hardly ever.
@@ -216,13 +214,10 @@ def _decided(found: DataFrame, *keys: Column) -> DataFrame:
     prepare(spark)
     place = F.struct(F.col("doc_id").isNull().alias("n"), *[c for c in ("doc_id", "line_no", "row") if c in found.columns])
     distinct = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    table = f"keelmark_lines_{uuid.uuid4().hex}"
-    (
-        distinct.withColumn("uid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("uid", 33).cast("int"))
-        .write.option("path", new_folder(spark, "lines")).option("compression", "zstd")
-        .bucketBy(shuffle_partitions(spark), "part").saveAsTable(table)
+    lines = bucketed(
+        distinct.withColumn("uid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("uid", 33).cast("int")),
+        "lines", shuffle_partitions(spark), "part",
     )
-    lines = spark.table(table)
     meetings = saved(
         lines.select("uid", "line").mapInArrow(tidy(_bands), "band long, uid long")
         .repartition("band").sortWithinPartitions("band", "uid").mapInArrow(meeting, "uid long, rep long").distinct(),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelmark.llm.runtime import give_back, prepare, saved, tidy
+from keelmark.llm.runtime import bucketed, give_back, prepare, saved, tidy
 from keelmark.llm.words import Rolling, Words, in_chunks
-from keelmark.session import new_folder
 
 #: Words of a window, and of the stretch inside it that names it.
 WINDOW, ANCHOR = 50, 8
@@ -274,20 +272,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
     files = max(min(shards, SMALL_FILES), -(-size // FILE_BYTES))
-    if files > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
-        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", files)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    table = f"keelmark_texts_{uuid.uuid4().hex}"
-    (
+    rows = bucketed(
         docs.select(
             F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"), row.alias("row"),
             F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         )
-        .repartition(files, "shard").withColumn("uid", F.monotonically_increasing_id())
-        .write.option("path", new_folder(spark, "texts")).option("compression", "zstd")
-        .bucketBy(files, "shard").saveAsTable(table)
+        .repartition(files, "shard").withColumn("uid", F.monotonically_increasing_id()),
+        "texts", files, "shard",
     )
-    rows = spark.table(table)
     texts = rows.select("id", "uid", "shard", F.col(f"row.`{text_col}`").cast("string").alias("text"))
 
     anchors = texts.mapInArrow(tidy(_anchors), "anchor long, id long")

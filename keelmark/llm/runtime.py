@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import keelmark
-from keelmark.session import new_folder
+from keelmark.session import new_folder, remove_folders
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(keelmark.__file__)))
 #: Java, RE2 and Python read this class alike.
@@ -33,6 +34,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``bucketed`` made in this program and ``remove_intermediates`` has not yet dropped.
+_tables: list[str] = []
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """As ``saved``, in ``buckets`` by ``column``: joins and groups on that column read rows where they lie."""
+    spark = df.sparkSession
+    if buckets > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", buckets)
+    table = f"keelmark_{name}_{uuid.uuid4().hex}"
+    _tables.append(table)
+    (
+        df.write.option("path", new_folder(spark, name)).option("compression", "zstd")
+        .bucketBy(buckets, column).saveAsTable(table)
+    )
+    return spark.table(table)
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Drop all tables and delete all folders that the operators wrote in this program. Call it once their results have
+    been written: a result that is not yet computed reads them."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables[-1]}")
+        _tables.pop()
+    remove_folders(spark)
+
+
 def give_back() -> None:
     """Return freed memory to the system. Workers are used again by later stages, whose needs would else add up."""
     pa.default_memory_pool().release_unused()
