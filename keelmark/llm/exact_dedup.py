@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelmark.llm import golomb
-from keelmark.llm.runtime import SPACES, prepare, saved, shuffle_partitions
+from keelmark.llm.runtime import SPACES, bucketed, prepare, saved, shuffle_partitions
+
+#: Fingerprints that an owner decodes at once, as a mean.
+OWNED = 8_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -113,7 +116,9 @@ def exact_duplicates(
     owners of their ranges; owners return bitmaps of those that other partitions sent. Only
     rows marked by a bitmap, the suspects, are shuffled with their texts and compared byte by byte, so
     a false match of fingerprints costs a comparison and nothing else. The rows are
-    written once, which fixes partitions and row numbers for both directions.
+    written once, bucketed by the partition that numbered them, which fixes partitions and row numbers for both
+    directions: the bitmaps come to the rows, and texts of other rows than suspects never move. ``docs`` is read
+    once more before, without its columns, to count its rows and partitions: owners follow from the count.
     A text shared by any part of all rows is one fingerprint per partition, then one
     partial group per task; joins of suspects to groups can be split by AQE.
     """
@@ -125,10 +130,12 @@ def exact_duplicates(
         "row", F.sha2(text, 256).alias("sha"), F.shiftrightunsigned(F.xxhash64(text), 64 - bits).alias("print"),
     )
     kind = prepared.schema["row"].dataType.simpleString()
-    stored = saved(prepared.mapInArrow(
-        _sending(bits, shuffle_partitions(spark)),
+    count = docs.select(F.spark_partition_id().alias("p")).agg(F.count("*").alias("rows"), F.max("p").alias("last")).first()
+    owners = max(shuffle_partitions(spark), -(-count["rows"] // OWNED))
+    stored = bucketed(prepared.mapInArrow(
+        _sending(bits, owners),
         f"row {kind}, sha string, part long, place long, owner long, block binary, places binary, starts binary",
-    ), "fingerprints")
+    ), "fingerprints", (count["last"] or 0) + 1, "part")
     sent = stored.where("owner is not null")
     answers = sent.select("part", "owner", "block").groupBy("owner").applyInPandas(
         _answer, "part long, owner long, bitmap binary"
@@ -138,10 +145,10 @@ def exact_duplicates(
         .groupBy("part").applyInPandas(_marks, "part long, words array<long>"),
         "marks",
     )
-    # Marks take a bit a row. Their written size lets Spark broadcast them or not.
+    # Marks take a bit a row: each bucket hashes its own few, so its rows are neither shuffled nor sorted.
     word = F.get("words", (F.col("place") / 64).cast("int"))
     rows = (
-        stored.where("owner is null").join(marks, "part", "left")
+        stored.where("owner is null").join(marks.hint("shuffle_hash"), "part", "left")
         .withColumn("suspect", F.coalesce(word.bitwiseAND(F.expr("shiftleft(1L, cast(place % 64 as int))")) != 0, F.lit(False)))
         .select("row", "sha", "part", "place", "suspect", F.col(f"row.`{id_col}`").alias("id"))
     )

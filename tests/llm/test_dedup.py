@@ -116,3 +116,19 @@ def test_components_of_chains_and_stars(spark):
     found = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert found == {**{i: 0 for i in range(1, 501)}, **{2000 + i: 2000 for i in range(1, 300)}}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_texts_of_single_rows_are_not_shuffled(spark, sf_dir):
+    """No exchange of the plan carries a row struct but those of suspects, also where nothing is broadcast."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert df.where("kept").count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    single = plan[:plan.index("SortMergeJoin")]  # the first child of the union
+    assert "ShuffledHashJoin" in single and "Bucketed: true" in single
+    exchanges = [x for x in single.splitlines() if "Exchange" in x]
+    assert len(exchanges) == 1 and "part" in exchanges[0]  # the marks
