@@ -73,14 +73,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         stars = saved(now.mapInArrow(_local_forests, "u long, v long"), "forests")
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: u's larger neighbours move to the smallest of u and its neighbours
-        lowest = _smallest(both).select("u", F.least("u", "m").alias("m"))
+        # Written, so that AQE may split the joins where a star has very many nodes.
+        lowest = saved(_smallest(both).select("u", F.least("u", "m").alias("m")), "lowest")
         large = (
             stars.select(F.col("v").alias("u"), F.col("u").alias("w")).join(lowest, "u")
             .select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = saved(large, "large-star")
         # small star: u and its smaller neighbours move to the smallest of them
-        lowest = _smallest(large)
+        lowest = saved(_smallest(large), "lowest")
         small = (
             large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(lowest.select("u", F.col("m").alias("v"))).distinct()
