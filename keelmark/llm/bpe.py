@@ -19,11 +19,13 @@ from keelmark.llm.words import in_chunks
 # How texts are cut before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that the library itself encodes: they may compose, or hold a special token.
-UNUSUAL = re.compile("[\u0250-\U0010ffff]|<[|]")
+#: Words that the library itself encodes: they may compose, change their length in lower case, or hold a special token.
+UNUSUAL = re.compile("[\u0130\u023a\u023e\u0250-\U0010ffff]|<[|]")
+#: Kinds of characters: spaces between words, other white space, and what pieces are made of.
+_BETWEEN, _BLANK, _LETTER, _NUMBER, _OTHER, _ODD = range(6)
 #: Pieces whose ids a task remembers, and the longest that it does.
 REMEMBERED, LONGEST = 400_000, 64
-_NONE = np.iinfo(np.int64).max
+_NONE = np.int32(np.iinfo(np.int32).max)
 _BESIDE = re.compile(r"\s(?:\s|\Z)")
 _SPACE = re.compile(r" (?=\S)")
 
@@ -42,47 +44,80 @@ class Merges:
     def __init__(self, model: dict, size: int):
         vocab, self.size = model["vocab"], size
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order
-        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
         # A merge comes after those that make its parts, so all places of a word's lowest pair can be merged in one round.
         made = {vocab[a + b]: n for n, (a, b) in reversed(list(enumerate(pairs)))}
         if any(made.get(vocab[x], -1) >= n for n, pair in enumerate(pairs) for x in pair):
             raise ValueError("a merge uses a token that only a later merge makes")
-
-    def apply(self, symbols: np.ndarray, sizes: np.ndarray, kind: np.dtype) -> list[bytes]:
-        """Ids of every word, as numbers of a kind. All words lie in one flat array; a round merges each word's lowest pair."""
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        # Pairs lie by a hash, so that a look-up reads one place, and a second one in few cases.
+        keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], dtype=np.int64)
+        self.shift = np.uint64(61 - len(pairs).bit_length())
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        self.first = np.full(1 << (64 - int(self.shift)), len(pairs), dtype=np.int32)
+        self.first[slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        self.keys, self.rank = np.append(keys[order], -1), np.append(order, _NONE).astype(np.int32)
+        #: whether the next pair has the same slot
+        self.more = np.append(slot[1:] == slot[:-1], [False, False])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or ``_NONE``; of equal pairs in the file the first counts."""
+        key = left.astype(np.int64) * self.size + right
+        at = self.first[self._slot(key)]
+        hit = self.keys[at] == key
+        rest = np.flatnonzero(~hit & self.more[at])
+        while len(rest):
+            at[rest] += 1
+            hit[rest] = self.keys[at[rest]] == key[rest]
+            rest = rest[~hit[rest] & self.more[at[rest]]]
+        return np.where(hit, self.rank[at], _NONE)
+
+    def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word). All words lie in one flat array; a round merges each word's lowest pair."""
+        symbols, owner = symbols.astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        rank = np.full(len(symbols), _NONE)
+        if len(symbols):
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self.ranks(symbols[:-1], symbols[1:]), _NONE)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(symbols), _NONE)
-            hit = (self.keys[at] == key) & (owner[:-1] == owner[1:])
-            rank[:-1][hit] = self.rank[at[hit]]
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             lowest = np.minimum.reduceat(rank, starts)
             lengths = np.diff(starts, append=len(owner))
-            chosen = (rank == np.repeat(lowest, lengths)) & (rank != _NONE)
-            places = np.flatnonzero(chosen)
+            live = np.repeat(lowest != _NONE, lengths)
+            done.append((symbols[~live], owner[~live]))
+            symbols, owner, rank = symbols[live], owner[live], rank[live]
+            places = np.flatnonzero(rank == np.repeat(lowest, np.where(lowest != _NONE, lengths, 0)))
             # Of overlapping places (a pair of two equal symbols) every second one counts, from the left.
             new = np.ones(len(places), dtype=bool)
             new[1:] = np.diff(places) != 1
             runs = np.flatnonzero(new)
             nth = np.arange(len(places)) - np.repeat(runs, np.diff(runs, append=len(places)))
             places = places[nth % 2 == 0]
-            symbols[places] = self.merged[at[places]]
+            symbols[places] = self.merged[rank[places]]
             keep = np.ones(len(symbols), dtype=bool)
             keep[places + 1] = False
-            live = np.repeat(lowest != _NONE, lengths)
-            done.append((symbols[keep & ~live], owner[keep & ~live]))
-            symbols, owner = symbols[keep & live], owner[keep & live]
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            # Only pairs with a merged symbol have changed.
+            places -= np.arange(len(places))
+            changed = np.concatenate([places[places > 0] - 1, places])
+            rank[changed] = _NONE
+            changed = changed[changed < len(symbols) - 1]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            rank[changed] = self.ranks(symbols[changed], symbols[changed + 1])
         if not done:
-            return [b"" for _ in sizes]
+            return symbols, np.zeros(len(sizes), dtype=np.int64)
         symbols, owner = (np.concatenate(x) for x in zip(*done))
-        data = symbols[np.argsort(owner, kind="stable")].astype(kind).tobytes()
-        ends = (np.cumsum(np.bincount(owner, minlength=len(sizes))) * kind.itemsize).tolist()
+        return symbols[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
+
+    def apply(self, symbols: np.ndarray, sizes: np.ndarray, kind: np.dtype) -> list[bytes]:
+        """Ids of every word, as numbers of a kind."""
+        ids, counts = self.merge(symbols, sizes)
+        data = ids.astype(kind).tobytes()
+        ends = (np.cumsum(counts) * kind.itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -173,8 +208,7 @@ class WordBpe:
     """Ids of words as the tokenizers library gives them, for a file that marks word ends and drops white space.
 
     Words of plain letters (below U+0250, where nothing composes) are lower-cased, cut and merged here, many
-    at a time; the library itself is asked for any others. Ids are little-endian unsigned 32-bit numbers. The
-    memory of words is bounded: it is emptied when it is full, and long words are not kept.
+    at a time; the library itself is asked for any others. The memory of pieces is bounded: it is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -185,47 +219,122 @@ class WordBpe:
         for c, b in byte_characters().items():
             self.of_byte[b], self.of_last[b] = model["vocab"][c], model["vocab"][c + end]
         self.merges = Merges(model, size)
-        self.pretoken = regex.compile(WORD_PRETOKEN)
-        self.ids: dict[bytes, bytes] = {}
-
-    def _library(self, words: list[str]) -> list[bytes]:
+        # Kind and lower case of each plain character; the last entry stands for all others.
+        plain = [chr(c) for c in range(0x250)]
+        self.kind = np.array([_kind(c) for c in plain] + [_ODD], dtype=np.uint8)
+        self.lower = np.array([ord(c.lower()) if k != _ODD else ord(c) for c, k in zip(plain, self.kind)] + [0], dtype="<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Number 0 is the empty piece."""
+        self.numbers: dict[bytes, int] = {}
+        self.sizes, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def _library(self, words: list[str]) -> list[list[int]]:
         if words and self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
-        return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
-
-    def _merged(self, words: list[str]) -> list[bytes]:
-        cut = [self.pretoken.findall(w.lower()) for w in words]
-        distinct = list(set().union(*cut))
-        data = [x.encode() for x in distinct]
-        sizes = np.array(list(map(len, data)), dtype=np.int64)
-        codes = np.frombuffer(b"".join(data), dtype=np.uint8)
+        return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Number new pieces and hold their ids."""
+        odd = [bool(UNUSUAL.search(x.decode())) for x in pieces]
+        plain, asked = [x for x, o in zip(pieces, odd) if not o], [x for x, o in zip(pieces, odd) if o]
+        sizes = np.array(list(map(len, plain)), dtype=np.int64)
+        codes = np.frombuffer(b"".join(plain), dtype=np.uint8)
         symbols = self.of_byte[codes]
         last = np.cumsum(sizes) - 1
         symbols[last] = self.of_last[codes[last]]
-        ids = dict(zip(distinct, self.merges.apply(symbols, sizes, np.dtype("<u4"))))
-        return [ids[x[0]] if len(x) == 1 else b"".join([ids[y] for y in x]) for x in cut]
+        ids, counts = self.merges.merge(symbols, sizes)
+        found = self._library([x.decode() for x in asked])
+        at = len(self.sizes)
+        self.numbers.update(zip(plain + asked, range(at, at + len(pieces))))
+        self.sizes = np.concatenate([self.sizes, counts, np.array(list(map(len, found)), dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids.astype("<u4"), *(np.array(x, dtype="<u4") for x in found)])
+
+    def _cut(self, text: str) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """(place, bytes) of every piece: a word that the library is asked for is one, others are cut as ``WORD_PRETOKEN`` cuts their lower case."""
+        codes = np.frombuffer((text + "\n" * 4).encode("utf-32-le"), dtype="<u4")
+        kind = self.kind[np.minimum(codes, len(self.kind) - 1)]
+        lowered = self.lower[np.minimum(codes, len(self.kind) - 1)]
+        special = np.flatnonzero(codes == ord("<"))
+        kind[special[codes[special + 1] == ord("|")]] = _ODD
+        odd = np.flatnonzero(kind == _ODD)
+        if len(odd):
+            inside = np.diff(kind != _BETWEEN, prepend=False)
+            edges = np.flatnonzero(inside)  # words begin and end in turn, as the last character is a space
+            first = np.unique(np.searchsorted(edges, odd, side="right") - 1)
+            marks = np.zeros(len(codes), dtype=np.int8)
+            marks[edges[first]] = 1
+            marks[edges[first + 1]] = -1
+            whole = np.cumsum(marks, dtype=np.int8).astype(bool)
+            kind[whole] = _ODD
+            lowered = np.where(whole, codes, lowered)
+        start = np.diff(kind, prepend=_BETWEEN) != 0
+        start |= kind == _NUMBER
+        start &= kind > _BLANK
+        # An apostrophe that stands alone before certain letters makes a piece with them.
+        quote = np.flatnonzero(lowered == ord("'"))
+        quote = quote[start[quote] & (kind[quote] == _OTHER) & (kind[quote + 1] == _LETTER)]
+        one, two = lowered[quote + 1], lowered[quote + 2]
+        long = np.zeros(len(quote), dtype=bool)
+        for a, b in ("re", "ve", "ll"):
+            long |= (one == ord(a)) & (two == ord(b))
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        start[quote[short | long] + 1] = False
+        for after in (quote[short] + 2, quote[long] + 3):
+            start[after] = kind[after] > _BLANK
+        held = kind > _BLANK
+        letters = lowered[held]
+        widths = 1 + (letters >= 0x80).astype(np.int8) + (letters >= 0x800) + (letters >= 0x10000)
+        ends = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+        offsets = np.append(ends[:-1][start[held]], ends[-1]).astype(np.int32)
+        data = letters.tobytes().decode("utf-32-le").encode()
+        pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return np.flatnonzero(start), pieces.dictionary_encode()
+
+    def encode_texts(self, texts: list[str], last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): ids of all texts in turn, each with ``last`` behind it, and where each text's end."""
+        place, pieces = self._cut("\n".join(texts))
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.numbers) > REMEMBERED or len(self.ids) > REMEMBERED * LONGEST:
+            self._forget()
+        missing = [x for x in distinct if x not in self.numbers]
+        self._learn(missing)
+        number = np.fromiter(map(self.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))[pieces.indices.to_numpy()]
+        stop = np.searchsorted(place, np.cumsum([len(x) + 1 for x in texts]))
+        number = np.insert(number, stop, 0)
+        at_end = stop + np.arange(len(texts))
+        first = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[number]
+        sizes[at_end] = last is not None
+        ends = np.cumsum(sizes)
+        # A text's last id is written over what is read for it.
+        from_ = np.repeat(first[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.ids[from_] if len(self.ids) else np.zeros(len(from_), dtype="<u4")
+        if last is not None:
+            ids[ends[at_end] - 1] = last
+        return ids, ends[at_end]
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of texts that are given as lists of words."""
-        known = self.ids
-        missing = list(set().union(*texts).difference(known))
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list(set().union(*texts))
-        words = [w.decode() for w in missing]
-        odd = [bool(UNUSUAL.search(w)) for w in words]
-        plain = iter(self._merged([w for w, o in zip(words, odd) if not o]))
-        asked = iter(self._library([w for w, o in zip(words, odd) if o]))
-        known.update((w, next(asked if o else plain)) for w, o in zip(missing, odd))
-        out = [b"".join(map(known.__getitem__, words)) for words in texts]
-        for w in missing:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+        """Ids, as little-endian unsigned 32-bit numbers, of texts that are given as lists of words."""
+        ids, ends = self.encode_texts([b" ".join(x).decode() for x in texts])
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _kind(character: str) -> int:
+    if character in " \t\n\v\f\r":
+        return _BETWEEN
+    if UNUSUAL.search(character):
+        return _ODD
+    for kind, pattern in ((_BLANK, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+        if regex.match(pattern, character):
+            return kind
+    return _OTHER
 
 
 def _coding(path: str):

@@ -23,12 +23,16 @@ GROUP = "_packed_together"
 
 def _tokenizing(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = WordBpe(path), np.array([end_id], dtype="<u4").tobytes()
+        bpe = WordBpe(path)
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in in_chunks(texts, 1_000_000):
-                ids = [x + end for x in bpe.encode([t.split() for t in texts[a:b]])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                ids, ends = bpe.encode_texts(texts[a:b], end_id)
+                offsets = np.concatenate([[0], 4 * ends])
+                if offsets[-1] > np.iinfo(np.int32).max:
+                    raise ValueError("the ids of a text exceed 2 GB")
+                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), coded], names=["doc_id", "ids"])
 
     return run
 

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from keelmark.llm.bpe import WordBpe
+from keelmark.llm.bpe import Merges, WordBpe
 from keelmark.llm.language import (
     PIECE, CrossParser, fit_languages, identify_languages, language_of_documents, letters_only, suffix_automaton,
 )
@@ -163,3 +163,29 @@ def test_words_match_the_library():
     bpe = WordBpe(WORD_BPE)
     for w, ids in zip(words, bpe.encode([[w.encode()] for w in words])):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
+def test_whole_texts_match_the_library():
+    rng = random.Random(9)
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    parts = [" ", " ", "\n", "\t\r", "\xa0", "\x85", "\x1c", "\0", "'", "'s", "'LL", "''re", "!'d", "'t1", "don't", "Straße,", "ÀÉ", "12", "½", "İ", "Ⱥ", "ſ",
+             "<|endoftext|>", "<", "|", "中文", "e\u0301", "\u0301", "😀", "“so”", "ΑΣ", "the", "aaaaaaa", "word"]
+    texts = ["", " ", "\n", "x", "'", "'s", "中", *("".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(3000))]
+    bpe = WordBpe(WORD_BPE)
+    for a, b in ((0, 1), (1, 2), (0, 0), (2, 900), (900, len(texts))):
+        ids, ends = bpe.encode_texts(texts[a:b], 2)
+        assert len(ends) == b - a
+        for text, start, end in zip(texts[a:b], [0, *ends], ends):
+            assert ids[start:end].tolist() == expected_ids(text, tokenizer), text
+
+
+def test_each_piece_is_merged_once(monkeypatch):
+    """Words that differ in capitals or punctuation share their pieces, also in later batches."""
+    merged, merge = [], Merges.merge
+    monkeypatch.setattr(Merges, "merge", lambda self, symbols, sizes: merged.append(len(sizes)) or merge(self, symbols, sizes))
+    bpe = WordBpe(WORD_BPE)
+    words = [f"{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(500)]
+    for form in ("{}", "{},", "({})", "{}.", "“{}”"):
+        plain = [form.format(w).encode() for w in words]
+        bpe.encode([plain, [w.upper() for w in plain]])
+    assert sum(merged) == 500 + len({",", "(", ")", "."})
