@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from keelmark.llm.runtime import prepare
 
 TOP, SCALE = 10, 1024.0
-#: Vectors of a shard, queries of a block, and vectors between two updates of the bounds.
-SHARD, QUERIES, STEP = 4096, 512, 512
+#: Vectors of a shard, queries of a block, queries that traverse postings together, and vectors between two updates of the bounds, at first and at most.
+SHARD, QUERIES, TOGETHER, STEP, LONGEST_STEP = 4096, 4096, 256, 256, 2048
+#: A list that holds this share of the vectors is kept as a row.
+FULL = 1 / 8
 
 
 def quantised(vector: Column) -> Column:
@@ -30,54 +32,86 @@ class Postings:
 
     A dimension makes two terms: one for queries with a positive weight there, with each component less the smallest, and
     one for negative query weights, with the largest less each component. So a query's score is a constant plus a sum of
-    non-negative parts, which bounds can cut off. Zero parts are left out of the postings.
+    non-negative parts, which bounds can cut off. Zero parts are left out of the postings; a list with few zero parts, as dense
+    vectors have, is its row of weights, and the rows of many queries are traversed by one matrix product.
     """
 
     def __init__(self, vectors: np.ndarray):
         self.size, self.dims = vectors.shape
         self.low = vectors.min(axis=0) if self.size else np.zeros(self.dims, np.int64)
         self.high = vectors.max(axis=0) if self.size else np.zeros(self.dims, np.int64)
-        self.weights = (np.ascontiguousarray((vectors - self.low).T), np.ascontiguousarray((self.high - vectors).T))
-        self.posts = tuple([np.flatnonzero(w) for w in side] for side in self.weights)
+        #: terms times vectors: first those for positive query weights, then those for negative ones
+        self.weights = np.concatenate([(vectors - self.low).T, (self.high - vectors).T])
+        full = np.count_nonzero(self.weights, axis=1) >= FULL * self.size
+        self.full, self.posts = np.flatnonzero(full), {int(t): np.flatnonzero(self.weights[t]) for t in np.flatnonzero(~full)}
 
     def search(self, query: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, score) of the ``top`` highest scores, ties to smaller places; ``own`` places are left out."""
-        terms = np.flatnonzero(query)
-        constant = int(np.where(query > 0, query * self.low, query * self.high).sum())
-        weight, side = np.abs(query[terms]), (query[terms] < 0).astype(int)
-        bound = weight * (self.high - self.low)[terms]
-        order = np.argsort(bound, kind="stable")  # from the weakest term
-        terms, weight, side, bound = terms[order], weight[order], side[order], bound[order]
-        below = np.concatenate([[0], np.cumsum(bound)])  # of the n weakest terms together
-        places, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        essential, theta = 0, -1
-        for start in range(0, self.size, STEP):
-            stop = min(start + STEP, self.size)
-            part = np.zeros(stop - start, dtype=np.int64)
+        return self.search_all(query[None], [own], top)[0]
+
+    def search_all(self, queries: np.ndarray, own: list[np.ndarray], top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``search`` for every row of ``queries``, with its own places."""
+        constant = np.where(queries > 0, queries * self.low, queries * self.high).sum(axis=1)
+        weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
+        bound = weight * np.tile(self.high - self.low, 2)
+        order = np.argsort(bound, axis=1, kind="stable")  # from the weakest term
+        nth = np.argsort(order, axis=1)
+        below = np.zeros((len(queries), 2 * self.dims + 1), dtype=np.int64)  # of the n weakest terms together
+        np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1, out=below[:, 1:])
+        # Doubles hold every sum exactly up to 2**53; beyond, whole numbers are used, which are slower.
+        kind = np.float64 if below[:, -1].max(initial=0) < 1 << 53 else np.int64
+        rows, vectors = self.weights[self.full].astype(kind), np.ascontiguousarray(self.weights.T)
+        all_terms = np.full(len(queries), 2 * self.dims)
+        weakest = np.count_nonzero(below <= below[:, -1:] // 64, axis=1) - 1  # terms that add a sixty-fourth at most
+        own_query, own_place = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate([*own, np.empty(0, np.int64)])
+
+        def traverse(part: np.ndarray, start: int, first: np.ndarray, last: np.ndarray) -> None:
+            """Add the lists of each query's terms from its ``first`` weakest on up to its ``last``."""
+            wanted = np.where((nth >= first[:, None]) & (nth < last[:, None]), weight, 0)
+            part += wanted[:, self.full].astype(kind) @ rows[:, start:start + part.shape[1]]
+            for t, posts in self.posts.items():
+                held = posts[slice(*np.searchsorted(posts, (start, start + part.shape[1])))]
+                asked = np.flatnonzero(wanted[:, t])
+                if len(held) and len(asked):
+                    part[np.ix_(asked, held - start)] += np.outer(wanted[asked, t], self.weights[t, held])
+
+        best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(queries)
+        theta, essential, stop, step = np.full(len(queries), -1), np.zeros(len(queries), np.int64), 0, STEP
+        while stop < self.size:
+            start, stop, step = stop, min(stop + step, self.size), min(2 * step, LONGEST_STEP)
+            part = np.zeros((len(queries), stop - start), dtype=kind)
+
+            def can_win(n: np.ndarray) -> np.ndarray:
+                return part > (theta - np.take_along_axis(below, n[:, None], axis=1)[:, 0])[:, None]
+
             # Essential postings: what is in none of them stays at or under the threshold.
-            for t, w, s in zip(terms[essential:], weight[essential:], side[essential:]):
-                posts = self.posts[s][t]
-                a, b = np.searchsorted(posts, (start, stop))
-                part[posts[a:b] - start] += w * self.weights[s][t, posts[a:b]]
-            alive = np.flatnonzero(part + below[essential] > theta)
-            part = part[alive]
-            # The others are probed, strongest first, while a vector can still win.
-            for n in range(essential - 1, -1, -1):
-                if not len(alive):
-                    break
-                part = part + weight[n] * self.weights[side[n]][terms[n], alive + start]
-                still = part + below[n] > theta
-                alive, part = alive[still], part[still]
-            alive = alive + start
-            other = ~np.isin(alive, own)
-            places, scores = np.concatenate([places, alive[other]]), np.concatenate([scores, part[other]])
-            if len(scores) >= top:
-                best = np.lexsort((places, -scores))[:top]
-                places, scores = places[best], scores[best]
-                theta = int(scores[-1])  # a later vector of this score comes after it
-                essential = int(np.searchsorted(below, theta, side="right")) - 1
-        best = np.lexsort((places, -scores))[:top]
-        return places[best], scores[best] + constant
+            traverse(part, start, essential, all_terms)
+            alive, probed = can_win(essential), essential
+            # The others are probed, strongest first, while a vector can still win: in lists while many can, then vector by vector.
+            if np.count_nonzero(alive) >= FULL * alive.size and (weakest < essential).any():
+                probed = np.minimum(essential, weakest)
+                traverse(part, start, probed, essential)
+                alive = can_win(probed)
+            here = (own_place >= start) & (own_place < stop)
+            alive[own_query[here], own_place[here] - start] = False
+            query, place = np.nonzero(alive)
+            score = part[query, place].astype(np.int64)
+            for a in range(0, len(query), lot := max(1, (1 << 21) // max(1, 2 * self.dims))):
+                q, x = query[a:a + lot], place[a:a + lot] + start
+                if probed[q].any():
+                    score[a:a + lot] += np.einsum("ij,ij->i", np.where(nth[q] < probed[q, None], weight[q], 0), vectors[x])
+            wins = score > theta[query]
+            query, place, score = query[wins], place[wins] + start, score[wins]
+            edges = np.searchsorted(query, np.arange(len(queries) + 1))
+            for q in np.unique(query).tolist():
+                found = slice(edges[q], edges[q + 1])
+                places, scores = np.concatenate([best[q][0], place[found]]), np.concatenate([best[q][1], score[found]])
+                first = np.lexsort((places, -scores))[:top]
+                best[q] = places[first], scores[first]
+                if len(first) == top:
+                    theta[q] = scores[first[-1]]  # a later vector of this score comes after it
+                    essential[q] = np.searchsorted(below[q], theta[q], side="right") - 1
+        return [(places, scores + c) for (places, scores), c in zip(best, constant)]
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -97,11 +131,13 @@ def _searching(top: int):
         dims = max(pa.compute.max(pa.compute.list_value_length(t.column("vector"))).as_py() for t in (queries, shard))
         postings = Postings(_matrix(shard.column("vector"), dims))
         found: tuple[list, list, list] = ([], [], [])
-        for q, vector in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("vector"), dims)):
-            own = np.arange(*np.searchsorted(ids, (q, q + 1)))
-            places, scores = postings.search(vector, own, top)
-            for out, values in zip(found, (np.full(len(places), q), ids[places], scores)):
-                out.append(values)
+        asked, wanted = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), dims)
+        for a in range(0, len(asked), TOGETHER):
+            some = asked[a:a + TOGETHER]
+            own = [np.arange(*x) for x in zip(np.searchsorted(ids, some), np.searchsorted(ids, some, side="right"))]
+            for q, (places, scores) in zip(some, postings.search_all(wanted[a:a + TOGETHER], own, top)):
+                for out, values in zip(found, (np.full(len(places), q), ids[places], scores)):
+                    out.append(values)
         return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], names=names)
 
     return run

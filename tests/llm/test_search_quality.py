@@ -29,6 +29,22 @@ def test_postings_match_all_products(seed):
         assert places.tolist() == want and scores.tolist() == every[want].tolist()
 
 
+@pytest.mark.parametrize("share, most", [(1, 5), (1, 1000), (1, 10 ** 8), (0.5, 5), (0.05, 9)])
+def test_many_queries_share_a_traversal(share, most):
+    rng = np.random.default_rng(int(most))
+    vectors = rng.integers(0, most + 1, (3000, 30)) * (rng.random((3000, 30)) < share)
+    vectors[:, 0] = rng.integers(-most, most, 3000)
+    vectors[900:1000] = vectors[7]  # ties
+    queries, own = vectors[::25] - most // 2 * (np.arange(120) % 2)[:, None], [np.arange(i, i + i % 3) for i in range(0, 3000, 25)]
+    postings = Postings(vectors)
+    assert bool(postings.posts) == (share < 0.1) and len(postings.full) + len(postings.posts) == 60
+    for query, left_out, (places, scores) in zip(queries, own, postings.search_all(queries, own, 10)):
+        every = vectors @ query
+        order = np.lexsort((np.arange(3000), -every))
+        want = order[~np.isin(order, left_out)][:10]
+        assert places.tolist() == want.tolist() and scores.tolist() == every[want].tolist()
+
+
 def brute(rows, top=10):
     def vector(x):
         if x is None or any(v is None or not np.isfinite(v) for v in x):
