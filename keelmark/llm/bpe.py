@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -239,10 +240,10 @@ class WordBpe:
             self.tokenizer.no_padding()
         return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Number new pieces and hold their ids."""
-        odd = [bool(UNUSUAL.search(x.decode())) for x in pieces]
-        plain, asked = [x for x, o in zip(pieces, odd) if not o], [x for x, o in zip(pieces, odd) if o]
+    def _learn(self, pieces: list[bytes], some_odd: bool) -> np.ndarray:
+        """Hold the ids of new pieces: their numbers."""
+        odd = np.array([some_odd and UNUSUAL.search(x.decode()) is not None for x in pieces], dtype=bool)
+        plain, asked = (list(compress(pieces, x)) for x in ((~odd).tolist(), odd.tolist()))
         sizes = np.array(list(map(len, plain)), dtype=np.int64)
         codes = np.frombuffer(b"".join(plain), dtype=np.uint8)
         symbols = self.of_byte[codes]
@@ -254,14 +255,16 @@ class WordBpe:
         self.numbers.update(zip(plain + asked, range(at, at + len(pieces))))
         self.sizes = np.concatenate([self.sizes, counts, np.array(list(map(len, found)), dtype=np.int64)])
         self.ids = np.concatenate([self.ids, ids.astype("<u4"), *(np.array(x, dtype="<u4") for x in found)])
+        return at + np.argsort(np.argsort(odd, kind="stable"), kind="stable")
 
-    def _cut(self, text: str) -> tuple[np.ndarray, pa.DictionaryArray]:
-        """(place, bytes) of every piece: a word that the library is asked for is one, others are cut as ``WORD_PRETOKEN`` cuts their lower case."""
+    def _cut(self, text: str) -> tuple[np.ndarray, pa.DictionaryArray, bool]:
+        """Place and bytes of every piece, and if there are odd ones: a word that the library is asked for is one, others are cut as
+        ``WORD_PRETOKEN`` cuts their lower case."""
         codes = np.frombuffer((text + "\n" * 4).encode("utf-32-le"), dtype="<u4")
-        kind = self.kind[np.minimum(codes, len(self.kind) - 1)]
-        lowered = self.lower[np.minimum(codes, len(self.kind) - 1)]
-        special = np.flatnonzero(codes == ord("<"))
-        kind[special[codes[special + 1] == ord("|")]] = _ODD
+        kind, lowered = self.kind.take(codes, mode="clip"), self.lower.take(codes, mode="clip")
+        if "<|" in text:
+            special = np.flatnonzero(codes == ord("<"))
+            kind[special[codes[special + 1] == ord("|")]] = _ODD
         odd = np.flatnonzero(kind == _ODD)
         if len(odd):
             inside = np.diff(kind != _BETWEEN, prepend=False)
@@ -273,9 +276,11 @@ class WordBpe:
             whole = np.cumsum(marks, dtype=np.int8).astype(bool)
             kind[whole] = _ODD
             lowered = np.where(whole, codes, lowered)
-        start = np.diff(kind, prepend=_BETWEEN) != 0
-        start |= kind == _NUMBER
-        start &= kind > _BLANK
+        held = kind > _BLANK
+        start = kind == _NUMBER
+        start[0] = True
+        start[1:] |= kind[1:] != kind[:-1]
+        start &= held
         # An apostrophe that stands alone before certain letters makes a piece with them.
         quote = np.flatnonzero(lowered == ord("'"))
         quote = quote[start[quote] & (kind[quote] == _OTHER) & (kind[quote + 1] == _LETTER)]
@@ -287,24 +292,28 @@ class WordBpe:
         start[quote[short | long] + 1] = False
         for after in (quote[short] + 2, quote[long] + 3):
             start[after] = kind[after] > _BLANK
-        held = kind > _BLANK
         letters = lowered[held]
-        widths = 1 + (letters >= 0x80).astype(np.int8) + (letters >= 0x800) + (letters >= 0x10000)
-        ends = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
-        offsets = np.append(ends[:-1][start[held]], ends[-1]).astype(np.int32)
+        widths = 1 + (letters >= 0x80).astype(np.int8)
+        if len(odd):
+            widths += (letters >= 0x800).astype(np.int8) + (letters >= 0x10000)
+        ends = np.zeros(len(letters) + 1, dtype=np.int32)
+        np.cumsum(widths, out=ends[1:])
+        offsets = np.append(ends[:-1][start[held]], ends[-1])
         data = letters.tobytes().decode("utf-32-le").encode()
         pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        return np.flatnonzero(start), pieces.dictionary_encode()
+        return np.flatnonzero(start), pieces.dictionary_encode(), bool(len(odd))
 
     def encode_texts(self, texts: list[str], last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): ids of all texts in turn, each with ``last`` behind it, and where each text's end."""
-        place, pieces = self._cut("\n".join(texts))
-        distinct = pieces.dictionary.to_pylist()
+        place, pieces, some_odd = self._cut("\n".join(texts))
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.numbers) > REMEMBERED or len(self.ids) > REMEMBERED * LONGEST:
             self._forget()
-        missing = [x for x in distinct if x not in self.numbers]
-        self._learn(missing)
-        number = np.fromiter(map(self.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))[pieces.indices.to_numpy()]
+        # Pieces learned here get the numbers from now on in their order, so each is looked up once.
+        number = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        missing = np.flatnonzero(number < 0)
+        number[missing] = self._learn([distinct[i] for i in missing.tolist()], some_odd)
+        number = number[pieces.indices.to_numpy()]
         stop = np.searchsorted(place, np.cumsum([len(x) + 1 for x in texts]))
         number = np.insert(number, stop, 0)
         at_end = stop + np.arange(len(texts))

@@ -26,7 +26,7 @@ def _tokenizing(path: str, end_id: int):
         bpe = WordBpe(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in in_chunks(texts, 1_000_000):
+            for a, b in in_chunks(texts, 2_000_000):
                 ids, ends = bpe.encode_texts(texts[a:b], end_id)
                 offsets = np.concatenate([[0], 4 * ends])
                 if offsets[-1] > np.iinfo(np.int32).max:
