@@ -107,9 +107,12 @@ def _keyed(words: DataFrame, symbols: int, alphabet: list[int], whole: bool) ->
 
 
 def _verified(around: DataFrame, keyed: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs of different words one edit apart, out of those that share a key: numbers meet first, then words are fetched for them."""
+    """Pairs of different words one edit apart, out of those that share a key: numbers meet first, then words are fetched for them.
+
+    Spark takes neighbourhoods to be as many as their words and would broadcast them, so the join is told to merge.
+    """
     there = keyed.join(words.select("id", F.col("word").alias("other")), "id").select("key", F.col("id").alias("other_id"), "other")
-    pairs = around.join(there, "key").where("id <> other_id").join(words.select("id", "word"), "id")
+    pairs = around.hint("merge").join(there, "key").where("id <> other_id").join(words.select("id", "word"), "id")
     return pairs.where(F.levenshtein("word", "other", 1) == 1).select("id", "other_id")
 
 
@@ -134,7 +137,7 @@ def near_words(words: DataFrame) -> DataFrame:
     many = saved(words.join(keyed.join(hot, "key", "left_semi"), "id", "left_semi"), "words-of-hot")
     # At most as many as there are letters.
     letters = [ord(r["c"]) + 1 for r in many.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()]
-    asking = words.join(around.join(hot, "key", "left_semi"), "id", "left_semi")
+    asking = words.join(around.join(hot, "key", "left_semi").hint("merge"), "id", "left_semi")
     return _verified(around, keyed.join(hot, "key", "left_anti"), words).union(
         _verified(_keyed(asking, 0, letters, True), _keyed(many, 0, letters, False), words)
     ).distinct()

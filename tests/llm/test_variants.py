@@ -6,7 +6,8 @@ import pytest
 
 from keelmark.llm import variants as module
 from keelmark.llm.queries import op12_spelling_variants
-from keelmark.llm.variants import letter_runs, spelling_variants
+from keelmark.llm.runtime import saved
+from keelmark.llm.variants import letter_runs, near_words, spelling_variants
 from tests.llm.cases import SCHEMA, edge_frame, edge_rows, table_rows
 
 
@@ -74,3 +75,12 @@ def test_long_words_and_empty_tables(spark):
     assert letter_runs(edge_frame(spark).limit(0)).count() == 0
     with pytest.raises(ValueError):
         spelling_variants(spark.createDataFrame([], "word string"), ratio=1)
+
+
+@pytest.mark.parametrize("bucket", [1000, 0])  # with 0 all words are looked up over all letters
+def test_neighbourhoods_are_not_broadcast(spark, monkeypatch, bucket):
+    monkeypatch.setattr(module, "BUCKET", bucket)
+    words = saved(spark.createDataFrame([(i, f"abcdef{i}") for i in range(50)], "id long, word string"), "words")
+    plan = near_words(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key#" in plan
+    assert not re.search(r"BroadcastHashJoin \[key#\w+\], \[key#\w+\], Inner|BroadcastHashJoin \[id#\w+\], \[id#\w+\], LeftSemi", plan)
